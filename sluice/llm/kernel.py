@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+KEPT = 5 << 20
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -34,11 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     held = _powers.get(base)
     if held is None or len(held) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, CHUNK + 1)  # tables for at most KEPT bytes are kept
         held = np.full(size, base, dtype=np.uint64)
         held[0] = 1
         np.multiply.accumulate(held, out=held)
-        if size == CHUNK + 1:  # tables for one giant text are not kept
+        if size <= KEPT:
             _powers[base] = held
     return held
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, near_dedup, url_filter
+from sluice.llm import byte_bpe, decontaminate, near_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -23,5 +34,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
 ORACLE_SQL: dict[str, str] = {}
