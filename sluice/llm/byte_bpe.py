@@ -22,14 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import kernel as K
+from sluice.llm.blocks import BLOCK_ROWS, CHUNK, chunk_rows, opened, packed, rows_of
 from sluice.llm.shared import source_bytes
 
-CHUNK = 2 << 20
 #: Distinct pre-tokens that a scan task gathers before it sends them on, in bytes.
 GATHER = 64 << 20
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
@@ -102,19 +101,6 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.append(starts[1:], len(data)), np.searchsorted(chosen, bounds)
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.int64(a.nbytes).tobytes() + np.ascontiguousarray(a).tobytes() for a in arrays), 1)
-
-
-def _opened(blob: bytes, *types) -> list[np.ndarray]:
-    raw, out, at = zstandard.decompress(blob), [], 0
-    for t in types:
-        n = int(np.frombuffer(raw, np.int64, 1, at)[0])
-        out.append(np.frombuffer(raw, t, n // np.dtype(t).itemsize, at + 8))
-        at += 8 + n
-    return out
-
-
 def _words(parts: int):
     """(text, block) batches to the distinct pre-tokens of the task, by part."""
 
@@ -126,7 +112,7 @@ def _words(parts: int):
             begin, part = np.cumsum(lengths) - lengths, (hashes >> np.uint64(20)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            blobs = [(p, _packed(lengths[x].astype(np.uint32), K.gather_bytes(raw, begin[x], lengths[x]))) for p in range(parts) if len(x := order[cuts[p] : cuts[p + 1]])]
+            blobs = [(p, packed(lengths[x].astype(np.uint32), K.gather_bytes(raw, begin[x], lengths[x]))) for p in range(parts) if len(x := order[cuts[p] : cuts[p + 1]])]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([block] * len(blobs), pa.int32()), pa.array([b for _, b in blobs], pa.binary())], ["part", "block", "blob"])
 
         for batch in batches:
@@ -172,7 +158,7 @@ def _encode_words(ranks_of):
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
                 if p != part:
                     part, known = p, {}
-                lengths, raw = _opened(blob.as_py(), np.uint32, np.uint8)
+                lengths, raw = opened(blob.as_py(), np.uint32, np.uint8)
                 ends = np.cumsum(lengths, dtype=np.int64)
                 text, ids, counts = raw.tobytes(), [], np.zeros(len(lengths), np.uint32)
                 for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist())):
@@ -182,31 +168,18 @@ def _encode_words(ranks_of):
                         found = known[word] = encode(word)
                     ids += found
                     counts[i] = len(found)
-                blobs.append(_packed(K.hash_spans(raw, ends - lengths, ends), counts, np.array(ids, np.uint32)))
+                blobs.append(packed(K.hash_spans(raw, ends - lengths, ends), counts, np.array(ids, np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.zeros(len(blobs), np.int32)), batch.column(0).cast(pa.int64()), pa.array(blobs, pa.binary())], ["block", "kind", "seq", "blob"])
 
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, block) batches to compressed chunks (block, 1, number, ids and texts)."""
-    seq = 0
-    for batch in batches:
-        data, offsets = K.text_buffers(batch.column(1))
-        ids = batch.column(0)
-        valid, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-        for a, b in K.chunks(offsets, CHUNK):
-            blob = _packed(ids[a:b], valid[a:b], np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]])
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, 1), pa.array([1], pa.int32()), pa.array([seq], pa.int64()), pa.array([blob], pa.binary())], ["block", "kind", "seq", "blob"])
-            seq += 1
-
-
 class _Dictionary:
     """Pre-token hashes to runs of ids."""
 
     def __init__(self, blobs: list[bytes], encode):
         self.encode = encode
-        found = [_opened(b, np.uint64, np.uint32, np.uint32) for b in blobs] or [[np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint32)]]
+        found = [opened(b, np.uint64, np.uint32, np.uint32) for b in blobs] or [[np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint32)]]
         hashes, counts, self.ids = (np.concatenate(x) for x in zip(*found))
         begin = np.cumsum(counts, dtype=np.int64) - counts
         self.hashes, index = np.unique(hashes, return_index=True)
@@ -242,9 +215,10 @@ def _assemble(ranks_of):
                     continue
                 if words is None:
                     words, blobs = _Dictionary(blobs, encode), []
-                doc_ids, valid, lengths, data = _opened(blob.as_py(), np.int64, bool, np.int64, np.uint8)
-                starts, ends, of = pretokens(data, np.append(0, np.cumsum(lengths)))
-                ids, per_text = np.zeros(0, np.int32), np.zeros(len(lengths), np.int64)
+                rows = rows_of(blob.as_py())
+                data, offsets = K.text_buffers(rows.column(1))
+                starts, ends, of = pretokens(data, offsets)
+                ids, per_text = np.zeros(0, np.int32), np.zeros(rows.num_rows, np.int64)
                 if len(starts):
                     where = words.find(K.hash_spans(data, starts, ends), data, starts, ends)
                     counts = words.counts[where]
@@ -252,7 +226,7 @@ def _assemble(ranks_of):
                     sums = np.append(0, np.cumsum(counts))
                     per_text = sums[of[1:]] - sums[of[:-1]]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=~valid), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists], ["doc_id", "ids"])
 
     return run
 
@@ -266,8 +240,8 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     parts = max(64, math.ceil(source_bytes(docs) / (32 << 20)))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("block"))
     words = rows.select("text", "block").mapInArrow(_words(parts), "part int, block int, blob binary")
-    known = words.repartition("part").sortWithinPartitions("part").mapInArrow(_encode_words(ranks_of), "block int, kind int, seq bigint, blob binary")
-    texts = rows.mapInArrow(_texts, "block int, kind int, seq bigint, blob binary")
+    known = words.repartition("part").sortWithinPartitions("part").mapInArrow(_encode_words(ranks_of), BLOCK_ROWS)
+    texts = rows.mapInArrow(chunk_rows(1), BLOCK_ROWS)
     both = known.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "seq")
     return both.mapInArrow(_assemble(ranks_of), "doc_id bigint, ids array<int>")
 

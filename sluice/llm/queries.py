@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import byte_bpe, decontaminate, near_dedup, url_filter
+from sluice.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -34,5 +38,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
 ORACLE_SQL: dict[str, str] = {}
