@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, url_filter
+from sluice.llm import byte_bpe, decontaminate, fingerprint, near_dedup, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,5 +38,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_fingerprint": op10_fingerprint, "op2_substring_dedup": op2_substring_dedup, "op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
 ORACLE_SQL: dict[str, str] = {}
