@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import kernel as K
@@ -34,6 +34,8 @@ from sluice.llm.shared import cut
 BANDS, ROWS = 32, 4
 #: Members of one pivot that one task compares; further members go to further blocks.
 BLOCK = 512
+#: Bits of the filter that keeps texts without candidates out of the second scan. It has one size; when it fills up, more sets than needed are made.
+SLOTS = 1 << 25
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -62,9 +64,16 @@ def _signatures(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, wanted: np.ndarray):
+    """(doc_id, text, slot) batches to the sets of documents whose slot is wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offsets in _slices(batches):
+        def picked():
+            for batch in batches:
+                slot = batch.column(2).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array((wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+
+        for ids, data, offsets in _slices(picked()):
             elements, of = S.shingle_sets(data, offsets, k)
             raw = elements.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             yield pa.RecordBatch.from_arrays([ids, pa.array([raw[6 * a : 6 * b] for a, b in zip(of[:-1], of[1:])], pa.binary())], ["member", "elements"])
@@ -72,6 +81,20 @@ def _sets(k: int):
     return run
 
 
+def _slot(doc_id) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """The slots of the ids, as SLOTS bits whatever their number: a filter that may pass more, never less."""
+    slot = _slot("doc_id") + 1
+    found = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(SLOTS // 8, np.uint8)
+    for bucket, bits in found.collect():  # SLOTS / 32768 rows of 4 kB at most
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
+    return out
+
+
 def _unpacked(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -176,8 +199,8 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataF
     every = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.col("pivot").alias("member"))
     rows = placed.unionByName(every).withColumn("visitor", F.lit(False))
     wanted = rows.select(F.col("member").alias("doc_id")).distinct()
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = text.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "member bigint, elements binary").dropDuplicates(["member"])
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _slot(F.col("doc_id").cast("bigint")).alias("slot"))
+    sets = cut(text.filter("doc_id IS NOT NULL").mapInArrow(_sets(k, _bitmap(wanted)), "member bigint, elements binary").dropDuplicates(["member"]))
 
     def compared(rows: DataFrame) -> DataFrame:
         full = rows.join(sets, "member").select("pivot", "block", "blocks", "member", "visitor", "elements")
