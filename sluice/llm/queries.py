@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import byte_bpe, decontaminate, fingerprint, near_dedup, substring_dedup, url_filter
+from sluice.llm import byte_bpe, decontaminate, fingerprint, language_id, near_dedup, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -43,5 +51,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_fingerprint": op10_fingerprint, "op2_substring_dedup": op2_substring_dedup, "op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
+QUERIES = {"op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id, "op10_fingerprint": op10_fingerprint, "op2_substring_dedup": op2_substring_dedup, "op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
 ORACLE_SQL: dict[str, str] = {}
