@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import byte_bpe, decontaminate, fingerprint, language_id, near_dedup, substring_dedup, toxicity, url_filter
+from sluice.llm import byte_bpe, decontaminate, fingerprint, language_id, near_dedup, quality, substring_dedup, token_count, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_pieces(table(spark, sf_dir, "documents"), token_count.read_pieces(tokenizer("piece_bpe_32k.model")))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer's vocabulary file."""
     import public_tokenizers
@@ -22,6 +27,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -51,5 +60,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id, "op10_fingerprint": op10_fingerprint, "op2_substring_dedup": op2_substring_dedup, "op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_quality": op1_quality, "op3_token_count": op3_token_count, "op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id, "op10_fingerprint": op10_fingerprint, "op2_substring_dedup": op2_substring_dedup, "op4_byte_bpe": op4_byte_bpe, "op6_near_dedup": op6_near_dedup, "op8_url_filter": op8_url_filter, "op9_decontamination": op9_decontamination}
 ORACLE_SQL: dict[str, str] = {}
