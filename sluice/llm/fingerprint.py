@@ -10,7 +10,7 @@ SAMPLES numbers of 24 bits in hexadecimal digits.
 
 Nulls and odd input: a null text is an empty one; texts without words have the fingerprint of zeros and are alike; rows that share a doc_id stay
 rows of their own, and the next larger doc_id follows all of them (its least text, where it has several); a row with a null doc_id is followed by
-the first document and follows none; extra columns are ignored.
+nothing, loses its last quarter, and follows none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.shared import cut
 
-SAMPLES = 48
+SAMPLES = 32
 TABLE = 4096
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -57,11 +57,14 @@ def _sample(r_table: Column, c_table: Column) -> Column:
     b = F.shiftrightunsigned(h, 24).bitwiseAND((1 << 24) - 1) / float(1 << 24)
     t = F.floor(F.col("weight") / r + b)
     value = ((c - r * (t - b + 1.0) + 64.0) * float(1 << 32)).cast("bigint")
-    return F.shiftleft(value, 24).bitwiseOR(F.shiftrightunsigned(h, 40).bitwiseXOR(t * 0x9E3779).bitwiseAND((1 << 24) - 1))
+    return F.shiftleft(value, 24).bitwiseOR(F.shiftrightunsigned(h, 40).bitwiseXOR(F.shiftleft(t, 9)).bitwiseXOR(t).bitwiseAND((1 << 24) - 1))
 
 
 def fingerprints(rows: DataFrame, key: list[str], keep: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(key, keep, k, sample) of each row's text; keep are numbers, key tells the rows apart. Without words all samples are 0."""
+    """(key, k, value) of each row's text: samples for k from 0, then the numbers ``keep``. key tells the rows apart.
+
+    The rows of a key stay in their task if the rows are dealt by one of its columns.
+    """
     spark = rows.sparkSession
     quantiles = gamma_quantiles(TABLE)
     r_table, c_table = _table(spark, quantiles), _table(spark, [math.log(x) for x in quantiles])
@@ -70,11 +73,16 @@ def fingerprints(rows: DataFrame, key: list[str], keep: list[str], samples: int
     ends = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == F.size("s") - 1) | (F.get("s", i) != F.get("s", i + 1)))
     ended = sorted_.withColumn("e", F.when(F.size("s") > 0, ends).otherwise(F.array().cast("array<int>")))
     counted = F.transform("e", lambda i, j: F.struct(F.get("s", i).alias("word"), F.when(j == 0, i + 1).otherwise(i - F.get("e", j - 1)).alias("n")))
-    each = ended.select(*key, *keep, F.explode_outer(counted).alias("x")).select(*key, *keep, "x.word", F.log(1.0 + F.log(F.col("x.n").cast("double"))).alias("weight"))
-    # the weight is in logarithms from here on
-    drawn = each.select(*key, *keep, "word", "weight", F.explode(F.lit(list(range(samples)))).alias("k")).withColumn("h", F.xxhash64("word", "k"))
-    drawn = drawn.groupBy(*key, "k").agg(*(F.max(c).alias(c) for c in keep), F.min(F.when(F.col("word").isNotNull(), _sample(r_table, c_table))).alias("best"))
-    return drawn.select(*key, *keep, "k", F.coalesce(F.col("best").bitwiseAND((1 << 24) - 1), F.lit(0)).cast("int").alias("sample"))
+    # the kept numbers travel as entries with negative counts, so that the minima below are all that each word costs
+    kept = [F.struct(F.col(c).alias("word"), F.lit(-1 - i).alias("n")) for i, c in enumerate(keep)]
+    entries = F.concat(counted, F.array(*kept, F.struct(F.lit(0).cast("bigint").alias("word"), F.lit(0).alias("n"))))
+    each = ended.select(*key, F.explode(entries).alias("x")).select(*key, "x.word", "x.n", F.when(F.col("x.n") > 0, F.log(1.0 + F.log(F.col("x.n").cast("double")))).alias("weight"))
+    # the weight is in logarithms from here on; an entry with count 0 makes sure of a row for each sample
+    ks = F.when(F.col("n") >= 0, F.lit(list(range(samples)))).otherwise(F.array(samples - 1 - F.col("n")))
+    drawn = each.select(*key, "word", "n", "weight", F.explode(ks).alias("k")).withColumn("h", F.xxhash64("word", "k"))
+    value = F.when(F.col("n") > 0, _sample(r_table, c_table)).when(F.col("n") < 0, F.col("word"))
+    best = drawn.groupBy(*key, "k").agg(F.min(value).alias("best"))
+    return best.select(*key, "k", F.when(F.col("k") < samples, F.coalesce(F.col("best").bitwiseAND((1 << 24) - 1), F.lit(0))).otherwise(F.col("best")).alias("value"))
 
 
 def as_text(samples: Column) -> Column:
@@ -103,15 +111,12 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sized = rows.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"))
     follow = cut(followers(sized))
-    lone = sized.filter("doc_id IS NULL").agg(F.max("n_chars").alias("n")).filter("n IS NOT NULL")
-    to_first = lone.crossJoin(follow.agg(F.min("doc_id").alias("next_id"))).select(F.lit(None).cast("bigint").alias("doc_id"), "next_id", "n").filter("next_id IS NOT NULL")
-    follow = follow.unionByName(to_first)
     quarter = lambda n: F.floor(n / 4).cast("int")
     asked = follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), quarter(F.col("n")).alias("first"))
     heads = rows.join(asked, "doc_id").select(F.col("for_id").alias("to_id"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("first")).alias("head"))
     heads = heads.groupBy("to_id").agg(F.min(F.struct("head", "next_id")).alias("h")).select("to_id", "h.*")
     n = F.char_length("text")
-    joined = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("to_id")), "left").withColumn("n", n)
+    joined = rows.hint("merge").join(heads, F.col("doc_id") == F.col("to_id"), "left").withColumn("n", n)  # leaves the rows dealt by doc_id
     cut_text = F.concat(F.substring("text", F.lit(1), F.col("n") - quarter(F.col("n"))), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter(F.col("n"))))
     return joined.select("doc_id", "text", F.col("n").cast("bigint").alias("n_chars"), "next_id", cut_text.alias("edited"))
 
@@ -123,9 +128,11 @@ def report(docs: DataFrame) -> DataFrame:
     sha = [F.conv(F.substring(hexed, 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"h{i}") for i in range(4)]
     keep = ["n_chars", "next_id", "h0", "h1", "h2", "h3"]
     sides = both.select("doc_id", "row", "n_chars", "next_id", *sha, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
-    sampled = fingerprints(sides.select("doc_id", "row", *keep, "x.side", "x.text"), ["doc_id", "row", "side"], keep)
-    one = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("k", "sample")))), lambda x: x["sample"])
-    found = cut(sampled.groupBy("doc_id", "row").agg(*(F.max(c).alias(c) for c in keep), one(0).alias("own"), one(1).alias("changed")))
+    sampled = fingerprints(sides.select("doc_id", (F.col("row") * 2 + F.col("x.side")).alias("row"), *keep, "x.text"), ["doc_id", "row"], keep)
+    side, k = F.pmod("row", F.lit(2)), F.col("k")
+    one = lambda at: F.transform(F.sort_array(F.collect_list(F.when((side == at) & (k < SAMPLES), F.struct("k", "value")))), lambda x: x["value"].cast("int"))
+    numbers = [F.max(F.when(k == SAMPLES + i, F.col("value"))).alias(c) for i, c in enumerate(keep)]
+    found = cut(sampled.groupBy("doc_id", F.floor(F.col("row") / 2).alias("pair")).agg(*numbers, one(0).alias("own"), one(1).alias("changed")))
     after = found.groupBy("doc_id").agg(F.min("own").alias("after")).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("next_id"), "after")
     joined = found.join(after, "next_id", "left")
     digest = F.lower(F.concat(*(F.lpad(F.hex(f"h{i}"), 16, "0") for i in range(4))))
