@@ -95,30 +95,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(equal) / F.size(a)
 
 
+#: Stands for a null doc_id in joins, so that both joins below need the same rows dealt by the same key and Spark deals them once.
+NONE = -(1 << 63)
+
+
 def followers(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n): the next larger id of each, the first after the last; n is the longest text of the id."""
-    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
-    dealt = cut(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
-    first = dealt.groupBy("range").agg(F.min("doc_id").alias("first"))
+    """(key, next_id, n): the next larger id of each, the first after the last; n is the longest text of the id."""
+    ids = docs.filter(F.col("key") != NONE).groupBy("key").agg(F.max("n_chars").alias("n"))
+    dealt = cut(ids.repartitionByRange("key").withColumn("range", F.spark_partition_id()))
+    first = dealt.groupBy("range").agg(F.min("key").alias("first"))
     # a row for each range: as many as there are partitions
     after = first.select("range", F.coalesce(F.lead("first").over(Window.orderBy("range")), F.min("first").over(Window.partitionBy())).alias("after"))
-    inside = dealt.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")))
-    return inside.join(F.broadcast(after), "range").select("doc_id", F.coalesce("next_id", "after").alias("next_id"), "n")
+    inside = dealt.withColumn("next_id", F.lead("key").over(Window.partitionBy("range").orderBy("key")))
+    return inside.join(F.broadcast(after), "range").select("key", F.coalesce("next_id", "after").alias("next_id"), "n")
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_chars, next_id, edited): the last quarter of each text, rounded down, replaced by the next document's first characters."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sized = rows.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"))
-    follow = cut(followers(sized))
+    """(key, text, n_chars, next_id, edited): the last quarter of each text, rounded down, replaced by the next document's first characters."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE).cast("bigint")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    follow = cut(followers(rows.select("key", F.char_length("text").cast("bigint").alias("n_chars"))))
     quarter = lambda n: F.floor(n / 4).cast("int")
-    asked = follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), quarter(F.col("n")).alias("first"))
-    heads = rows.join(asked, "doc_id").select(F.col("for_id").alias("to_id"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("first")).alias("head"))
-    heads = heads.groupBy("to_id").agg(F.min(F.struct("head", "next_id")).alias("h")).select("to_id", "h.*")
-    n = F.char_length("text")
-    joined = rows.hint("merge").join(heads, F.col("doc_id") == F.col("to_id"), "left").withColumn("n", n)  # leaves the rows dealt by doc_id
+    asked = follow.select(F.col("next_id").alias("key"), F.col("key").alias("for_key"), quarter(F.col("n")).alias("first"))
+    heads = rows.hint("merge").join(asked, "key").select(F.col("for_key").alias("to_key"), F.col("key").alias("next_id"), F.substring("text", F.lit(1), F.col("first")).alias("head"))
+    heads = heads.groupBy("to_key").agg(F.min(F.struct("head", "next_id")).alias("h")).select("to_key", "h.*")
+    joined = rows.hint("merge").join(heads, F.col("key") == F.col("to_key"), "left").withColumn("n", F.char_length("text"))  # leaves the rows dealt by key
     cut_text = F.concat(F.substring("text", F.lit(1), F.col("n") - quarter(F.col("n"))), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter(F.col("n"))))
-    return joined.select("doc_id", "text", F.col("n").cast("bigint").alias("n_chars"), "next_id", cut_text.alias("edited"))
+    return joined.select("key", "text", F.col("n").cast("bigint").alias("n_chars"), "next_id", cut_text.alias("edited"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -127,16 +129,16 @@ def report(docs: DataFrame) -> DataFrame:
     hexed = F.sha2(F.col("edited").cast("binary"), 256)
     sha = [F.conv(F.substring(hexed, 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"h{i}") for i in range(4)]
     keep = ["n_chars", "next_id", "h0", "h1", "h2", "h3"]
-    sides = both.select("doc_id", "row", "n_chars", "next_id", *sha, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
-    sampled = fingerprints(sides.select("doc_id", (F.col("row") * 2 + F.col("x.side")).alias("row"), *keep, "x.text"), ["doc_id", "row"], keep)
+    sides = both.select("key", "row", "n_chars", "next_id", *sha, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))
+    sampled = fingerprints(sides.select("key", (F.col("row") * 2 + F.col("x.side")).alias("row"), *keep, "x.text"), ["key", "row"], keep)
     side, k = F.pmod("row", F.lit(2)), F.col("k")
     one = lambda at: F.transform(F.sort_array(F.collect_list(F.when((side == at) & (k < SAMPLES), F.struct("k", "value")))), lambda x: x["value"].cast("int"))
     numbers = [F.max(F.when(k == SAMPLES + i, F.col("value"))).alias(c) for i, c in enumerate(keep)]
-    found = cut(sampled.groupBy("doc_id", F.floor(F.col("row") / 2).alias("pair")).agg(*numbers, one(0).alias("own"), one(1).alias("changed")))
-    after = found.groupBy("doc_id").agg(F.min("own").alias("after")).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("next_id"), "after")
+    found = cut(sampled.groupBy("key", F.floor(F.col("row") / 2).alias("pair")).agg(*numbers, one(0).alias("own"), one(1).alias("changed")))
+    after = found.filter(F.col("key") != NONE).groupBy("key").agg(F.min("own").alias("after")).select(F.col("key").alias("next_id"), "after")
     joined = found.join(after, "next_id", "left")
     digest = F.lower(F.concat(*(F.lpad(F.hex(f"h{i}"), 16, "0") for i in range(4))))
     return joined.select(
-        "doc_id", "n_chars", digest.alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+        F.nullif(F.col("key"), F.lit(NONE).cast("bigint")).alias("doc_id"), "n_chars", digest.alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), F.coalesce(likeness(F.col("own"), F.col("after")), F.lit(0.0)).alias("near_next"),
     )
