@@ -14,7 +14,7 @@ import zstandard
 
 from sluice.llm import kernel as K
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: kind 0: findings; kind 1: a chunk of the block's rows.
 BLOCK_ROWS = "block int, kind int, seq bigint, blob binary"
 

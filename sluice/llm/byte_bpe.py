@@ -200,12 +200,13 @@ class _Dictionary:
         return np.searchsorted(self.hashes, hashes)
 
 
-def _assemble(ranks_of):
-    """Rows sorted by block, kind and seq to (doc_id, ids)."""
+def _assemble(ranks_of, decoded: bool):
+    """Rows sorted by block, kind and seq to (doc_id, ids), and bytes if they are to be decoded at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, blobs, words = None, [], None
-        encode = _encoder(ranks_of())
+        ranks = ranks_of()
+        encode, table = _encoder(ranks), _Bytes(ranks) if decoded else None
         for batch in batches:
             for b, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
                 if b != block:
@@ -225,14 +226,18 @@ def _assemble(ranks_of):
                     ids = words.ids[K.spread(words.begin[where], counts)].astype(np.int32)
                     sums = np.append(0, np.cumsum(counts))
                     per_text = sums[of[1:]] - sums[of[:-1]]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists], ["doc_id", "ids"])
+                offsets = np.append(0, np.cumsum(per_text))
+                columns = [rows.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
+                names = ["doc_id", "ids"]
+                if table is not None:
+                    columns, names = [*columns, table.decode(ids, offsets)], [*names, "bytes"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every text, by the ranks in the file; without special tokens."""
+def encode(docs: DataFrame, ranks_path: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) of every text, by the ranks in the file; without special tokens. decoded: with ``bytes``, as ``decode`` adds them."""
 
     def ranks_of() -> dict[bytes, int]:
         return read_ranks(ranks_path)
@@ -243,35 +248,44 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     known = words.repartition("part").sortWithinPartitions("part").mapInArrow(_encode_words(ranks_of), BLOCK_ROWS)
     texts = rows.mapInArrow(chunk_rows(1), BLOCK_ROWS)
     both = known.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "seq")
-    return both.mapInArrow(_assemble(ranks_of), "doc_id bigint, ids array<int>")
+    return both.mapInArrow(_assemble(ranks_of, decoded), "doc_id bigint, ids array<int>" + ", bytes binary" * decoded)
+
+
+class _Bytes:
+    """The table of token bytes, to join ids with."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.raw = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Bytes of the runs of ids."""
+        size = self.lengths[ids]
+        ends = np.append(0, np.cumsum(size))[offsets].astype(np.int32)
+        data = K.gather_bytes(self.raw, self.begin[ids], size)
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids) with the bytes of the ids, joined with the token table: column ``bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            lengths[i] = len(token)
-        begin = np.cumsum(lengths) - lengths
-        raw = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+        table = _Bytes(read_ranks(ranks_path))
         for batch in batches:
             lists = batch.column(1)
             offsets, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
             for a, b in K.chunks(offsets, CHUNK // 4):
-                part = ids[offsets[a] : offsets[b]]
-                size = lengths[part]
-                sums = np.append(0, np.cumsum(size))[offsets[a : b + 1] - offsets[a]]
-                data = K.gather_bytes(raw, begin[part], size)
-                binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(sums.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.slice(a, b - a), binary], ["doc_id", "ids", "bytes"])
+                found = table.decode(ids[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.slice(a, b - a), found], ["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, bytes binary")
 
 
 def report(docs: DataFrame, ranks_path: str) -> DataFrame:
     """Digests of the ids and of what they decode to."""
-    both = decode(encode(docs, ranks_path), ranks_path)
+    both = encode(docs, ranks_path, decoded=True)
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

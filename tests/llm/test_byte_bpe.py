@@ -37,6 +37,8 @@ def test_matches_tiktoken(spark):
     df = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id long, text string, block string").repartition(3)
     assert sorted((tuple(x) for x in byte_bpe.report(df, RANKS).collect()), key=str) == brute(docs)
     assert byte_bpe.report(df.limit(0), RANKS).count() == 0
+    again = byte_bpe.decode(byte_bpe.encode(df.filter("doc_id > 3"), RANKS), RANKS).collect()
+    assert sorted(bytes(x.bytes) for x in again) == sorted((t or "").encode() for i, t in docs if i is not None and i > 3)
 
 
 def test_lacking_words_are_encoded_on_the_spot():
