@@ -34,6 +34,8 @@ from sluice.llm.shared import cut
 BANDS, ROWS = 32, 4
 #: Members of one pivot that one task compares; further members go to further blocks.
 BLOCK = 512
+#: Places that the rows of one band or pivot are dealt to.
+SALTS = 1024
 #: Bits of the filter that keeps texts without candidates out of the second scan. It has one size; when it fills up, more sets than needed are made.
 SLOTS = 1 << 25
 
@@ -184,18 +186,30 @@ def _blocks(percent: int):
     return run
 
 
+def _with_total(rows: DataFrame, key: str, part: Column, whole: Column) -> DataFrame:
+    """rows (key, member, ..) with ``total``: ``whole`` over the values ``part`` of the key's salts.
+
+    Rows meet their total by key and salt of the member, so a key with a third of all rows takes SALTS places, and at most SALTS rows of a key meet in one.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(part.alias("total"))
+    wholes = parts.groupBy(key).agg(whole.alias("total"))
+    return salted.join(parts.select(key, "salt").join(wholes, key), [key, "salt"]).drop("salt")
+
+
 def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between class representatives, enough to connect all that are linked."""
     reps = signatures.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("member"))
     entries = reps.select("member", F.explode("bands").alias("band"))
-    crowded = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = cut(entries.join(crowded, "band"))
-    company = met.groupBy("member").agg(F.sum("size").alias("company"))
-    pivots = met.select("band", "member").join(company, "member").groupBy("band").agg(F.max(F.struct("company", (-F.col("member")).alias("member"))).alias("best"))
-    pairs = met.select("band", "member").join(pivots, "band").select((-F.col("best.member")).alias("pivot"), "member").distinct().filter("pivot <> member")
-    pairs = cut(pairs)
-    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = pairs.join(blocks, "pivot").select("pivot", F.pmod(F.xxhash64("member"), "blocks").cast("int").alias("block"), "blocks", "member")
+    met = cut(_with_total(entries, "band", F.count(F.lit(1)), F.sum("total")).filter("total > 1"))
+    company = met.groupBy("member").agg(F.sum("total").alias("company"))
+    known = met.select("band", "member").join(company, "member")
+    pivots = _with_total(known, "band", F.max(F.struct("company", (-F.col("member")).alias("member"))), F.max("total"))
+    pairs = cut(pivots.select((-F.col("total.member")).alias("pivot"), "member").distinct().filter("pivot <> member"))
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = pairs.groupBy("pivot").agg(of(F.count(F.lit(1))).alias("blocks"))
+    placed = _with_total(pairs, "pivot", F.count(F.lit(1)), of(F.sum("total"))).withColumnRenamed("total", "blocks")
+    placed = placed.select("pivot", F.pmod(F.xxhash64("member"), "blocks").cast("int").alias("block"), "blocks", "member")
     every = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.col("pivot").alias("member"))
     rows = placed.unionByName(every).withColumn("visitor", F.lit(False))
     wanted = rows.select(F.col("member").alias("doc_id")).distinct()
