@@ -162,13 +162,13 @@ def _blocks(percent: int):
                 ids = [r[1] for r in rows]
                 pivot = ids.index(key[0])
                 links, alone = _compare(ids, [_unpacked(r[3]) for r in rows], pivot, {i for i, r in enumerate(rows) if r[2]}, percent)
-                out.extend((key[0], key[1], a, b) for a, b in links)
+                out.extend((key[0], key[1], rows[0][0], a, b) for a, b in links)
                 if rows[0][0] > 1 and not any(r[2] for r in rows):
-                    out.extend((key[0], key[1], a, None) for a in alone)
+                    out.extend((key[0], key[1], rows[0][0], a, None) for a in alone)
 
         def flush():
-            columns = list(zip(*out)) if out else [[]] * 4
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["pivot", "block", "a", "b"])
+            columns = list(zip(*out)) if out else [[]] * 5
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["pivot", "block", "blocks", "a", "b"])
             out.clear()
             return batch
 
@@ -218,13 +218,13 @@ def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataF
 
     def compared(rows: DataFrame) -> DataFrame:
         full = rows.join(sets, "member").select("pivot", "block", "blocks", "member", "visitor", "elements")
-        return cut(full.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_blocks(percent), "pivot bigint, block int, a bigint, b bigint"))
+        return cut(full.repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_blocks(percent), "pivot bigint, block int, blocks int, a bigint, b bigint"))
 
     found = compared(rows)
     out = found.filter("b IS NOT NULL").select("a", "b")
-    alone = found.filter("b IS NULL").select("pivot", F.col("block").alias("home"), F.col("a").alias("member"))
+    alone = found.filter("b IS NULL").select("pivot", F.col("block").alias("home"), "blocks", F.col("a").alias("member"))
     if not alone.isEmpty():
-        to = alone.join(blocks, "pivot").select("pivot", "home", "member", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("block <> home")
+        to = alone.select("pivot", "home", "member", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("block <> home")
         visits = to.select("pivot", "block", "blocks", "member", F.lit(True).alias("visitor"))
         hosts = rows.join(visits.select("pivot", "block").distinct(), ["pivot", "block"], "left_semi")
         out = out.unionByName(compared(visits.unionByName(hosts.select(visits.columns))).filter("b IS NOT NULL").select("a", "b"))
