@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.shared import cut
 
-SAMPLES = 32
+SAMPLES = 48
 TABLE = 4096
 SPACE = r"[\x20\x09-\x0D]+"
 
