@@ -13,6 +13,7 @@ items each count; a null item_id is listed as ``null``; extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import kernel as K
 
-#: Benchmark text that one search block may hold; it is sent to every task. A larger benchmark is searched in several blocks.
+#: Benchmark text that one search block may hold; it is sent to every task. A larger benchmark is searched in several blocks, one after the other.
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>, longest_match bigint"
 
@@ -130,18 +131,18 @@ def bisect(keys: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
     return low
 
 
-def scan(texts: tuple[np.ndarray, np.ndarray], probe: Probe) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray]:
-    """For each text of a shard: words, words hit, items found, words of the longest verbatim match."""
+def marks(texts: tuple[np.ndarray, np.ndarray], probe: Probe) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray]:
+    """For each text of a shard: words, items found, words of the longest verbatim match; and for each word of all texts whether it is hit (second)."""
     words = K.split(*texts, K.NOT_WORD)
     ids = probe.word_ids(K.hash_spans(words.data, words.starts, words.ends, lower=True))
     counts, owner, n = words.counts, words.owner, len(words.of) - 1
     suffix, at = probe.occurrences(ids, words.of[owner + 1] - np.arange(len(ids)))
-    hits, longest, items = np.zeros(n, np.int64), np.zeros(n, np.int64), [[] for _ in range(n)]
+    covered, longest, items = np.zeros(len(ids), bool), np.zeros(n, np.int64), [[] for _ in range(n)]
     if len(at):
         edge = np.zeros(len(ids) + 1, np.int64)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + probe.length[suffix], -1)
-        hits = np.bincount(owner, np.cumsum(edge[:-1]) > 0, n).astype(np.int64)
+        covered = np.cumsum(edge[:-1]) > 0
         found = np.unique(np.stack([owner[at], probe.item[suffix]]), axis=1)
         for i, item in found.T:
             items[i].append(probe.names[item])
@@ -153,24 +154,75 @@ def scan(texts: tuple[np.ndarray, np.ndarray], probe: Probe) -> tuple[np.ndarray
         begin = np.flatnonzero(new)
         run = np.diff(np.append(begin, len(pos))) - 1 + probe.length[suffix[order[begin]]]
         np.maximum.at(longest, owner[pos[begin]], run)
-    return counts, hits, items, longest
+    return counts, covered, items, longest
 
 
-def _search(items: list[tuple[str, str]], window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = Probe(items, window)
+def _hits(counts: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    return np.bincount(np.repeat(np.arange(len(counts)), counts), covered, len(counts)).astype(np.int64)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]]:
+    """Runs of rows of about K.CHUNK bytes of text, and their texts."""
+    for batch in batches:
+        data, offsets = K.text_buffers(batch.column(text))
+        for a, b in K.chunks(offsets):
+            yield batch.slice(a, b - a), (data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def _searched(batches: Iterator[pa.RecordBatch], blocks: list[list[tuple[str, str]]], window: int, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[list[str]], np.ndarray]]:
+    """Runs of rows with, for each row: words, words hit by any block, items found, words of the longest verbatim match.
+
+    With several blocks the task's rows go to a temporary file of its own and are read once for each block, so that one probe is held at a time;
+    of a run only the marks of its words, a bit each, and what its rows found stay from block to block.
+    """
+    if len(blocks) == 1:
+        probe = Probe(blocks[0], window)
+        for piece, texts in _pieces(batches, text):
+            counts, covered, items, longest = marks(texts, probe)
+            yield piece, counts, _hits(counts, covered), items, longest
+        return
+    with tempfile.TemporaryFile() as spool:
+        writer = None
         for batch in batches:
-            data, offsets = K.text_buffers(batch.column(1))
-            for a, b in K.chunks(offsets):
-                found = scan((data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), probe)
-                columns = [batch.column(0).slice(a, b - a), pa.array(found[0]), pa.array(found[1]), pa.array(found[2], pa.list_(pa.string())), pa.array(found[3])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "longest_match"])
+            writer = writer or pa.ipc.new_stream(spool, batch.schema)
+            writer.write_batch(batch)
+        if writer is None:
+            return
+        writer.close()
+
+        def spooled() -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]]:
+            spool.seek(0)
+            return _pieces(pa.ipc.open_stream(spool), text)
+
+        found = []
+        for n, block in enumerate(blocks):
+            probe = Probe(block, window)
+            for i, (_, texts) in enumerate(spooled()):
+                counts, covered, items, longest = marks(texts, probe)
+                if n == 0:
+                    found.append((counts, np.packbits(covered), items, longest))
+                    continue
+                _, bits, before, most = found[i]
+                bits |= np.packbits(covered)
+                for x, y in zip(before, items):
+                    x += y
+                np.maximum(most, longest, out=most)
+            del probe
+        for (piece, _), (counts, bits, items, longest) in zip(spooled(), found):
+            yield piece, counts, _hits(counts, np.unpackbits(bits, count=int(counts.sum())).astype(bool)), items, longest
+
+
+def _search(blocks: list[list[tuple[str, str]]], window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, counts, hits, items, longest in _searched(batches, blocks, window, 1):
+            columns = [piece.column(0), pa.array(counts), pa.array(hits), pa.array(items, pa.list_(pa.string())), pa.array(longest)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "longest_match"])
 
     return run
 
 
 def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of a checked size; the driver holds one row and one block at a time."""
+    """Items in blocks of a checked size."""
     block, size = [], 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).toLocalIterator():
         if block and size + len(row[1]) > most:
@@ -184,16 +236,10 @@ def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """Per document: n_words, n_hit, item_ids (sorted), longest_match, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    A benchmark of up to BLOCK_BYTES is one block and the scan has no shuffle. With more blocks, each block is
-    searched in all documents and the counts of a document are merged; n_hit is then the sum over the blocks, at most n_words.
+    The scan has no shuffle. A benchmark of more than BLOCK_BYTES is searched block by block within each task; a word is hit once, by however many blocks.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [rows.mapInArrow(_search(block, window), SCHEMA) for block in benchmark_blocks(benchmark)]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy("doc_id", "n_words").agg(F.least(F.first("n_words"), F.sum("n_hit")).alias("n_hit"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.max("longest_match").alias("longest_match"))
+    found = rows.mapInArrow(_search(list(benchmark_blocks(benchmark)), window), SCHEMA)
     hit = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
     return found.withColumn("item_ids", F.array_sort(F.array_distinct("item_ids"))).withColumn("contaminated", hit)
 
@@ -205,23 +251,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without contaminated documents: one scan when the benchmark is one block.
-
-    The search runs on each row by itself, so the decision is joined to its row only where several blocks must be merged.
-    """
-    blocks = list(benchmark_blocks(benchmark))
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
-    items, at, schema = blocks[0], docs.columns.index("text"), docs.schema
+    """The rows of docs, all columns, without contaminated documents. The search and the decision run on each row by itself, in one scan."""
+    blocks, at, schema = list(benchmark_blocks(benchmark)), docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = Probe(items, 13)
-        for batch in batches:
-            data, offsets = K.text_buffers(batch.column(at))
-            for a, b in K.chunks(offsets):
-                counts, hits, _, _ = scan((data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), probe)
-                yield batch.slice(a, b - a).filter(pa.array(~((hits > 0) & (20 * hits >= counts))))
+        for piece, counts, hits, _, _ in _searched(batches, blocks, 13, at):
+            yield piece.filter(pa.array(~((hits > 0) & (20 * hits >= counts))))
 
     return docs.mapInArrow(run, schema)
 

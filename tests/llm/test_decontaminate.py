@@ -76,3 +76,35 @@ def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.report(docs, bench).count() == 0
     assert decontaminate.report(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bench).first().n_hit == 0
+
+
+def in_blocks(monkeypatch, n):
+    whole = decontaminate.benchmark_blocks
+
+    def blocks(benchmark):
+        items = [x for block in whole(benchmark) for x in block]
+        return [items[i::n] for i in range(n)]
+
+    monkeypatch.setattr(decontaminate, "benchmark_blocks", blocks)
+
+
+def test_several_blocks_match_brute_force(spark, monkeypatch):
+    docs, bench = cases()
+    docs += [(1004, "one two"), (1004, "six two"), (None, "of the"), (None, bench[6][1]), (None, "same size")]
+    rows, items = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id int, text string")
+    one = sorted((tuple(x) for x in decontaminate.contamination(rows, items).collect()), key=str)
+    in_blocks(monkeypatch, 4)
+    assert sorted((tuple(x) for x in decontaminate.contamination(rows, items).collect()), key=str) == one
+    assert sorted([tuple(x)[:6] for x in decontaminate.report(rows, items).collect()], key=str) == brute(docs, bench)
+
+
+def test_words_in_two_blocks_are_hit_once_and_rows_without_id_are_removed(spark, monkeypatch):
+    passage = [f"w{i}" for i in range(14)]
+    clean = " ".join(passage[:13] + [f"c{i}" for i in range(300)])  # 13 of 313 words, by an item of each block
+    docs = [(1, clean), (2, clean), (2, clean), (None, " ".join(passage)), (None, clean)]
+    rows = spark.createDataFrame([(a, b, n) for n, (a, b) in enumerate(docs)], "doc_id long, text string, n int")
+    items = spark.createDataFrame([(1, " ".join(passage[:13])), (2, " ".join(passage))], "item_id int, text string")
+    in_blocks(monkeypatch, 2)
+    found = decontaminate.contamination(rows, items).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_hit, x.contaminated) for x in found) == [("1", 313, 13, False), ("2", 313, 13, False), ("2", 313, 13, False), ("None", 14, 14, True), ("None", 313, 13, False)]
+    assert sorted(x.n for x in decontaminate.remove_contaminated(rows, items).collect()) == [0, 1, 2, 4]
