@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm import kernel as K
-from sluice.llm.blocks import BLOCK_ROWS, block_rows, chunk_rows, opened, packed, rows_of, slices
+from sluice.llm.blocks import BLOCK_ROWS, block_rows, chunk_rows, first_row, opened, packed, rows_of, slices
 from sluice.llm.fm_index import FMIndex
 from sluice.llm.shared import source_bytes
 
@@ -98,7 +98,7 @@ def _keys(window: int, parts: int):
                     out.append((p, packed((key[x] & LOW).view(np.uint8).reshape(-1, 8)[:, :5], np.packbits(low[x] != high[x]))))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([block] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "block", "blob"])
 
-        for seq, rows in slices(batches, 0):
+        for _, _, rows in slices(batches, 0):
             block = rows.column(2)[0].as_py()
             words, hashes = _hashed(rows, 0)
             key, first, _ = segments(words, hashes, window)
@@ -194,7 +194,7 @@ def _dealt(window: int, parts: int, shards: int, ids: int, text: int):
                     members = order[K.spread(starts[x], sizes[x])]
                     chosen = lead[x]
                     raw = hashes[K.spread(first[chosen], length[chosen])]
-                    out.append((int(shard[chosen[0]]), packed(length[chosen].astype(np.uint32), raw.view(np.uint8).reshape(-1, 8)[:, :5], sizes[x].astype(np.uint32), doc[members], row[members].astype(np.uint32), (first[members] - words.of[row[members]]).astype(np.uint32))))
+                    out.append((int(shard[chosen[0]]), packed(length[chosen].astype(np.uint32), raw.view(np.uint8).reshape(-1, 8)[:, :5], sizes[x].astype(np.uint32), doc[members], (row[members] + first_row(rows)).astype(np.uint32), (first[members] - words.of[row[members]]).astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([block] * len(out), pa.int32()), pa.array([seq] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["shard", "block", "seq", "blob"])
 
     return run
@@ -258,6 +258,9 @@ def kept_words(rows: pa.RecordBatch, text: int, covers: list[bytes], window: int
     edge = np.zeros(len(words.starts) + 1, np.int64)
     for blob in covers:
         row, place, count = (x.astype(np.int64) for x in opened(blob, np.uint32, np.uint32, np.uint32))
+        row -= first_row(rows)
+        here = (row >= 0) & (row < rows.num_rows)  # other rows of the slice came in another piece
+        row, place, count = row[here], place[here], count[here]
         np.add.at(edge, words.of[row] + place, 1)
         np.add.at(edge, words.of[row] + place + count + window - 1, -1)
     kept = np.cumsum(edge[:-1]) == 0

@@ -1,10 +1,12 @@
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from sluice.llm import substring_dedup
+from sluice.llm import blocks, substring_dedup
 from sluice.llm.fm_index import FMIndex, WaveletMatrix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,3 +88,37 @@ def test_index_finds_patterns_of_other_sequences():
             for j in range(len(s) - depth + 1):
                 at = [v for v, t in zip((9, 4, 7, 5, 3), held) if any((t[k : k + depth] == s[j : j + depth]).all() for k in range(len(t) - depth + 1))]
                 assert got[of[i] + j] == min(at, default=np.iinfo(np.int64).max), (depth, i, j)
+
+
+def test_limits_of_batches_change_nothing(spark):
+    docs = cases()
+    docs += [(2 * 10**12 + i, t) for i, t in enumerate(t for _, t in docs)]
+    df = spark.createDataFrame([(a, b, "wide " * (n % 7 * 300)) for n, (a, b) in enumerate(docs)], "doc_id long, text string, wide string").coalesce(1)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "20000")
+    try:
+        got = [(x.doc_id, x.n_words, x.n_removed, hashlib.sha256(x.text.encode()).hexdigest()) for x in substring_dedup.remove_repeats(df.na.fill({"text": ""}), whole=False).collect()]
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted(got, key=str) == brute(docs)
+
+
+def test_slices_end_at_the_same_rows_in_all_batches(monkeypatch):
+    monkeypatch.setattr(blocks, "CHUNK", 40)
+    r = random.Random(4)
+    texts = ["x" * r.choice([0, 0, 1, 10, 39, 40, 41, 100]) for _ in range(300)]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+
+    def numbered(lengths):
+        out, at = [], 0
+        while at < len(texts):
+            n = next(lengths)
+            out.append(rows.slice(at, n))
+            at += n
+        return [(seq, first + i) for seq, first, part in blocks.slices(iter(out), 0) for i in range(part.num_rows)]
+
+    want = numbered(iter([300]))
+    assert len({seq for seq, _ in want}) > 50
+    for n in (1, 2, 7, 50):
+        assert numbered(itertools.repeat(n)) == want
