@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from sluice.llm import byte_bpe, decontaminate, near_dedup, quality, substring_dedup
 from sluice.llm.shared import checkpoint_dir
 
-#: Words of a passage that the corpus keeps once. Shorter common lines, such as licence notes, stay.
-PASSAGE = 30
+#: Words of a passage that the corpus keeps once, as in op2_substring_dedup.
+PASSAGE = 13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

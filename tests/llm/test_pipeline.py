@@ -53,3 +53,10 @@ def test_stages(spark, tmp_path):
     assert {x.doc_id: x.n_tokens for x in at.collect()} == {i: len(e.encode_ordinary(texts[i])) for i in ids[4]}
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, at.collect()))
+
+
+def test_substring_stage_takes_out_passages_of_13_words(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, "a " + passage, 40), (2, "b " + passage + " c", 42), (3, "d " + passage.rsplit(" ", 1)[0], 38)], "doc_id long, text string, n_chars long")
+    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.substring_stage(spark, docs, "").collect()}
+    assert got == {1: ("a " + passage, 40), 2: ("b c", 3), 3: ("d " + passage.rsplit(" ", 1)[0], 38)}
