@@ -1,8 +1,8 @@
 """Language identification by mixture inference over byte trigrams.
 
 Each language has a smoothed distribution over hashed byte trigrams of A-Z-lowered text between spaces. A document is a mixture: expectation
-maximisation estimates its language proportions, for the sets of its most likely languages of growing size; the set with the best likelihood less
-PENALTY * (size - 1) * ln(trigrams) is chosen. The prediction is the chosen set's largest share; equal ones go to the first language by name.
+maximisation estimates its language proportions, for the sets of its most likely languages of growing size, up to all; the set with the best
+likelihood less PENALTY * (size - 1) * ln(trigrams) is chosen. Sizes that a bound of the likelihood of any set rules out are not fitted. The prediction is the chosen set's largest share; equal ones go to the first language by name.
 
 The model has languages x BINS numbers, whatever the corpus; counts are over all learning rows and are summed in the tasks before the shuffle.
 
@@ -23,7 +23,6 @@ from sluice.llm import kernel as K
 
 BINS = 1 << 15
 ROUNDS = 10
-MOST = 3
 PENALTY = 3.0
 SMOOTH = 0.5
 
@@ -123,11 +122,14 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.
     relative = np.exp(np.clip(alone - alone.max(axis=1, keepdims=True), -700, 0))
     chosen_score = (relative / relative.sum(axis=1, keepdims=True))[np.arange(len(first)), best]
     if languages > 1:
-        every, _ = mixture(np.full((len(first), languages), 1 / languages), np.arange(len(first)))
+        every, likely = mixture(np.full((len(first), languages), 1 / languages), np.arange(len(first)))
+        # no shares have a likelihood above this: by Jensen's inequality, from the slopes at the shares found
+        slope = np.add.reduceat(p * (counts / np.maximum((p * every[row]).sum(axis=1), 1e-300))[:, None], first) / total[:, None]
+        most = likely + total * np.log(np.maximum(slope.max(axis=1), 1))
         order = np.argsort(-every, axis=1, kind="stable")
         value = alone.max(axis=1)
-        for size in range(2, min(MOST, languages) + 1):
-            docs = np.flatnonzero(np.take_along_axis(every, order[:, size - 1 : size], 1)[:, 0] > 0.02)
+        for size in range(2, languages + 1):
+            docs = np.flatnonzero(most - PENALTY * (size - 1) * np.log(np.maximum(total, 2)) > value)
             if not len(docs):
                 break
             start = np.zeros((len(docs), languages))

@@ -133,3 +133,14 @@ def test_sparse_sites_shrink_to_the_global_rate(spark):
 def test_features_are_finite():
     x, n = quality.features(*K.text_buffers(pa.array(["", "a", " ", "A!! B!!\nA!! B!!", None])))
     assert np.isfinite(x).all() and n.tolist() == [0, 1, 0, 4, 0]
+
+
+def test_a_text_in_five_languages_gets_its_whole_set(spark):
+    r = random.Random(9)
+    alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst", "ee": "uvwxy", "ff": "éèàçù"}
+    text = lambda a, n: " ".join("".join(r.choices(alphabets[a], k=r.randrange(2, 6))) for _ in range(n))
+    rows = [(i, text(a, 60), a) for i, a in enumerate(sorted(alphabets) * 12)]
+    rows += [(1000, " ".join(text(a, 50) for a in ("aa", "bb", "cc", "dd", "ee")), None)]
+    got = {x.doc_id: x for x in language_id.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sorted(got[1000].languages) == ["aa", "bb", "cc", "dd", "ee"] and got[1000].score < 0.3
+    assert all(got[i].languages == [a] for i, _, a in rows[:72])
