@@ -63,9 +63,29 @@ def test_equal_texts_have_equal_fingerprints_and_rows_stay(spark):
 
 def test_samples_agree_as_often_as_the_generalised_jaccard_similarity(spark):
     a, b = "x " * 9 + "y z " + "q " * 3, "x " * 3 + "y w " + "q " * 5
-    df = spark.createDataFrame([(0, a), (1, b)], "id long, text string")
-    found = {(x.id, x.k): x.value for x in fingerprint.fingerprints(df, ["id"], [], 2000).collect()}
-    assert abs(sum(found[0, k] == found[1, k] for k in range(2000)) / 2000 - similar(a, b)) < 0.04
+    df = spark.createDataFrame([(0, 7, a, b)], "id long, n long, text string, changed string")
+    x = fingerprint.sampled(df, ["id"], ["n"], 2000).first()
+    assert x.n == 7 and len(x.own) == len(x.changed) == 2000
+    assert abs(sum(p == q for p, q in zip(x.own, x.changed)) / 2000 - similar(a, b)) < 0.04
+
+
+def test_a_fingerprint_is_of_the_text_alone(spark):
+    docs = [(i, t) for i, t in cases() if i < 100]
+    alone = {x.doc_id: x.samples for x in fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    beside = {x.doc_id: x.fingerprint for x in fingerprint.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: "".join(f"{v:06x}" for v in s) for i, s in alone.items()} == beside
+
+
+def test_many_rows_without_a_doc_id_and_a_very_long_text(spark):
+    r = random.Random(3)
+    long = " ".join(str(r.randrange(5000)) for _ in range(300_000))
+    rows = [(None, f"w{i} x y z") for i in range(500)] + [(1, long), (2, long), (3, "w1 x y z")]
+    got = fingerprint.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 503 and sum(x.doc_id is None and x.near_next == 0.0 for x in got) == 500
+    by = {x.doc_id: x for x in got if x.doc_id}
+    assert by[1].fingerprint == by[2].fingerprint and by[1].near_next == 1.0
+    edited = {x.edited_sha256 for x in got if x.doc_id is None}
+    assert edited == {hashlib.sha256(t[: len(t) - len(t) // 4].encode()).hexdigest() for i, t in rows if i is None}
 
 
 def test_empty_table(spark):
