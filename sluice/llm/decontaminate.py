@@ -250,13 +250,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "longest_match")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without contaminated documents. The search and the decision run on each row by itself, in one scan."""
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """The rows of docs, all columns, without affected documents: those with a verbatim match of a whole window, however long they are, and those of
+    which hits of shorter items cover a share-th part. The search and the decision run on each row by itself, in one scan."""
     blocks, at, schema = list(benchmark_blocks(benchmark)), docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, counts, hits, _, _ in _searched(batches, blocks, 13, at):
-            yield piece.filter(pa.array(~((hits > 0) & (20 * hits >= counts))))
+        for piece, counts, hits, _, longest in _searched(batches, blocks, window, at):
+            yield piece.filter(pa.array(~((longest >= window) | ((hits > 0) & (share * hits >= counts)))))
 
     return docs.mapInArrow(run, schema)
 
