@@ -18,8 +18,19 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, fixed.STRIPPABLE_SUFFIXES, "")
 
 
-def _sensitive(part: Column, bare: Column) -> Column:
-    return hits(part, fixed.NAME_BANK) | hits(bare, fixed.NAME_BANK) | F.coalesce(bare.rlike(fixed.SENSITIVE_TOKEN), F.lit(False))
+#: Between the forms of a name that are searched at once: a character that no pattern has in it and all take for an edge.
+EDGE = "\0"
+#: Forms of short letters and digits only: no pattern of a name's bank can be in them.
+PLAIN = rf"\A(?:[A-Za-z0-9]{{0,63}}+(?:{EDGE}|\z))+\z"
+
+
+def _sensitive(name: Column, *forms: Column) -> Column:
+    """A sensitive pattern in the name or one of its forms, or a sensitive token in a form. One search for all forms; plain ones need none."""
+    every = F.concat_ws(EDGE, name, *forms)
+    found = ~F.coalesce(every.rlike(PLAIN), F.lit(True)) & hits(every, fixed.NAME_BANK)
+    for form in forms:
+        found = found | F.coalesce(form.rlike(fixed.SENSITIVE_TOKEN), F.lit(False))
+    return found
 
 
 def forbidden_name(name: Column) -> Column:
@@ -27,7 +38,8 @@ def forbidden_name(name: Column) -> Column:
     apart = F.lower(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1 $2"))
     words = F.regexp_replace(F.regexp_replace(apart, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     compact = F.regexp_replace(words, "_", "")
-    return _sensitive(name, bare) | _sensitive(words, words) | words.isin(fixed.FORBIDDEN_NAME_STEMS) | compact.startswith(fixed.FORBIDDEN_COMPACT_NAME_PREFIX) | compact.rlike("|".join(fixed.FORBIDDEN_COMPACT_NAME_PARTS))
+    parts = "|".join(fixed.FORBIDDEN_COMPACT_NAME_PARTS)
+    return words.isin(fixed.FORBIDDEN_NAME_STEMS) | compact.rlike(rf"\A{fixed.FORBIDDEN_COMPACT_NAME_PREFIX}|{parts}") | _sensitive(name, bare, words)
 
 
 def forbidden(parts: Column) -> Column:

@@ -19,7 +19,7 @@ from sluice.operators import checks
 from sluice.plans import rules
 from sluice.sources import tree
 
-ISSUES = "phase int, place string, path string, line int, ordinal int, message string"
+ISSUES = "phase int, place string, path string, line int, ordinal int, rule int, message string"
 DECODE_ERROR = "UnicodeDecodeError: failed to decode as UTF-8"
 JSON_ERROR = "JSONDecodeError: not strict JSON"
 EVIDENCE = "retained text contains raw/sensitive evidence"
@@ -68,7 +68,7 @@ def json_lines(files: DataFrame) -> DataFrame:
 
 def _found(df: DataFrame, phase: int, place: Column, path: Column, line: Column, messages: Column, base: Column | int = 0) -> DataFrame:
     base = F.lit(base) if isinstance(base, int) else base
-    return df.select(F.lit(phase).alias("phase"), place.alias("place"), path.alias("path"), line.cast("int").alias("line"), F.posexplode(messages).alias("at", "message")).select("phase", "place", "path", "line", (F.col("at") + base).cast("int").alias("ordinal"), "message")
+    return df.select(F.lit(phase).alias("phase"), place.alias("place"), path.alias("path"), line.cast("int").alias("line"), F.posexplode(messages).alias("at", "message")).select("phase", "place", "path", "line", (F.col("at") + base).cast("int").alias("ordinal"), F.lit(0).alias("rule"), "message")
 
 
 def file_issues(files: DataFrame, rows: DataFrame) -> DataFrame:
@@ -120,9 +120,10 @@ def consistency(part: str, phase: int, base: int, files: DataFrame, rows: DataFr
     trends, manifests = docs.filter("kind = 'trend'"), docs.filter("kind = 'manifest'")
     out: list[DataFrame] = []
 
-    def said(df: DataFrame, step: int, message: str | Column, line: str | None = "i", path: str = "shown") -> None:
-        message = F.lit(message) if isinstance(message, str) else message
-        out.append(df.select(F.lit(phase).alias("phase"), F.col("part").alias("place"), F.col(path).alias("path"), (F.col(line) if line else F.lit(None)).cast("int").alias("line"), F.lit(base + step).alias("ordinal"), message.alias("message")))
+    def said(df: DataFrame, step: int, message: str | Column, line: str | None = "i", rule: int | Column = 0) -> None:
+        """Issues of a step come line by line, those of a line by rule."""
+        message, rule = (F.lit(x) if not isinstance(x, Column) else x for x in (message, rule))
+        out.append(df.select(F.lit(phase).alias("phase"), F.col("part").alias("place"), F.col("shown").alias("path"), (F.col(line) if line else F.lit(None)).cast("int").alias("line"), F.lit(base + step).alias("ordinal"), rule.cast("int").alias("rule"), message.alias("message")))
 
     known_e, known_t = epi.filter(F.col("id").rlike(fixed.EPISODE_REF)), turn.filter(F.col("turn_id").rlike(fixed.TURN_REF))
     said(checks.duplicates(known_e, ["part", "id"], ["i"]), 1, "duplicate episode_id")
@@ -132,9 +133,9 @@ def consistency(part: str, phase: int, base: int, files: DataFrame, rows: DataFr
     said(checks.orphans(referring, first, ["part", "id"]), 3, "episode_id is missing from episodes export")
     both = referring.join(first.select("part", "id", F.col("host").alias("e_host"), F.col("session").alias("e_session"), "s", "e", "turns"), ["part", "id"])
     null = lambda c: F.when(F.col(c) != "null", F.col(c))  # noqa: E731  a missing and a null field agree
-    said(both.filter(~null("host").eqNullSafe(null("e_host"))), 3, "host must match referenced episode")
-    said(both.filter(~null("session").eqNullSafe(null("e_session"))), 4, "session_id must match referenced episode")
-    said(both.filter(checks.outside(F.col("t"), F.col("s"), F.col("e"))), 5, "timestamp must be within referenced episode")
+    said(both.filter(~null("host").eqNullSafe(null("e_host"))), 3, "host must match referenced episode", rule=1)
+    said(both.filter(~null("session").eqNullSafe(null("e_session"))), 3, "session_id must match referenced episode", rule=2)
+    said(both.filter(checks.outside(F.col("t"), F.col("s"), F.col("e"))), 3, "timestamp must be within referenced episode", rule=3)
     turn_file = turn.groupBy("part").agg(F.min("shown").alias("shown"))
     over = checks.above_limit(referring, ["part", "id"], first.select("part", "id", "turns"), "turns")
     said(over.join(turn_file, "part"), 6, "flagged turns must not exceed referenced episode turn_count", None)
@@ -145,9 +146,9 @@ def consistency(part: str, phase: int, base: int, files: DataFrame, rows: DataFr
     if month:
         y, m = F.split("part", "/")[1], F.split("part", "/")[2]
         begin, end = times.month_bounds(y, m)
-        at = docs.filter("w IS NOT NULL")
-        said(at.filter((F.col("w.start") >= end) | (F.col("w.end") <= begin)), 7, "window must overlap data month", None)
-        said(at.filter((F.col("w.start") < end) & (F.col("w.end") > end)), 7, "window end must be within data month", None)
+        at, trend_first = docs.filter("w IS NOT NULL"), (F.col("kind") != "trend").cast("int")
+        said(at.filter((F.col("w.start") >= end) | (F.col("w.end") <= begin)), 7, "window must overlap data month", None, trend_first)
+        said(at.filter((F.col("w.start") < end) & (F.col("w.end") > end)), 7, "window end must be within data month", None, trend_first)
         crossing = bounds.filter(F.col("w.mode").isin("weekly", "baseline-90d") & (F.col("w.start") < begin) & (F.col("w.end") <= end)).select("part")
         held_e, held_t = epi.join(crossing, "part", "left_anti"), turn.join(crossing, "part", "left_anti")
         said(held_e.filter(checks.outside(F.col("s"), begin, end, False) | checks.outside(F.col("e"), begin, end)), 8, "episode start/end must be within data month")
@@ -193,19 +194,19 @@ def consistency(part: str, phase: int, base: int, files: DataFrame, rows: DataFr
 
 def incomplete_exports(files: DataFrame) -> DataFrame:
     found = checks.incomplete(files.filter("export_key IS NOT NULL"), "export_key", "name", fixed.EXPORT_FILES)
-    return found.selectExpr("2 AS phase", "export_key AS place", "export_key AS path", "CAST(NULL AS INT) AS line", "0 AS ordinal", "'retained export directory is incomplete or has extra files' AS message")
+    return found.selectExpr("2 AS phase", "export_key AS place", "export_key AS path", "CAST(NULL AS INT) AS line", "0 AS ordinal", "0 AS rule", "'retained export directory is incomplete or has extra files' AS message")
 
 
 def issues(spark: SparkSession, root: str) -> DataFrame:
-    """All issues of the tree in order: (phase, place, path, line, ordinal, message)."""
+    """All issues of the tree in order: (phase, place, path, line, ordinal, rule, message)."""
     if not os.path.isdir(root):
-        return spark.createDataFrame([(0, "", None, None, 0, "root must be an existing directory")], ISSUES)
+        return spark.createDataFrame([(0, "", None, None, 0, 0, "root must be an existing directory")], ISSUES)
     root = os.path.realpath(root)
     files = artifacts(spark, root).persist()
     rows = json_lines(files).persist()
     every = file_issues(files, rows).unionByName(incomplete_exports(files))
     every = every.unionByName(consistency("export_key", 2, 10, files, rows, False)).unionByName(consistency("month_key", 3, 10, files, rows, True))
-    return every.orderBy("phase", F.split("place", "/"), F.when(F.col("phase") == 1, F.coalesce("line", F.lit(0))).otherwise(0), "ordinal", F.col("line").asc_nulls_first(), "message")
+    return every.orderBy("phase", F.split("place", "/"), F.when(F.col("phase") == 1, F.coalesce("line", F.lit(0))).otherwise(0), "ordinal", F.col("line").asc_nulls_first(), "rule", "message")
 
 
 def display(issue) -> str:

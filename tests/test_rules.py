@@ -19,7 +19,7 @@ def source(**k):
 
 
 def window(record=D, **k):
-    return X.changed(record, window=X.changed(X.WINDOW, **k))
+    return X.changed(record, window=X.changed(X.window(), **k))
 
 
 CASES = [
@@ -32,8 +32,8 @@ CASES = [
     ("episode", X.changed(E, extra={"mytoken": 1}), ["unexpected field is not allowed"]),
     ("episode", X.changed(E, extra={"my.token": 1}), ["unexpected field is not allowed", "episode JSON key contains raw/sensitive evidence"]),
     ("episode", X.changed(E, episode_id="episode_ref_v1:" + "a" * 20 + "\n", session_id=7), ["episode_id must be episode_ref_v1", "session_id must be session_ref_v1"]),
-    ("episode", X.changed(E, start="2026-02-29T00:00:00Z"), ["start must be timestamp or null"]),
-    ("episode", X.changed(E, start="2026-05-21T00:00:00.000000002Z", end="2026-05-21T00:00:00.000000001Z"), ["episode start must be before or equal to end"]),
+    ("episode", X.changed(E, start="2031-02-29T00:00:00Z"), ["start must be timestamp or null"]),
+    ("episode", X.changed(E, start=X.at("11:00:00.000000002"), end=X.at("11:00:00.000000001")), ["episode start must be before or equal to end"]),
     ("episode", X.changed(E, start=None, end=None, work_report_hint="fine"), []),
     ("episode", X.changed(E, turn_count=True), ["turn_count must be a bounded non-negative integer"]),
     ("episode", X.changed(E, turn_count=1.0), ["turn_count must be a bounded non-negative integer"]),
@@ -47,19 +47,19 @@ CASES = [
     ("episode", X.changed(E, friction_flags={}), ["friction_flags must be safe-token array"]),
     ("turn_flag", T, []),
     ("turn_flag", X.changed(T, issue_flags=[]), ["issue_flags must contain at least 1 item"]),
-    ("turn_flag", X.changed(T, model="gpt-5.5", timestamp=None, prompt_improvement="more"), []),
+    ("turn_flag", X.changed(T, model=fixed.MODEL_IDS[3], timestamp=None, prompt_improvement="more"), []),
     ("turn_flag", X.changed(T, model="other", source_hash="x", assistant_action_summary=None), ["source_hash must be source_hash_v1", "model must be an allowed retained model id or null", "assistant_action_summary must be retained text"]),
     ("turn_flag", X.changed(T, redacted_user_prompt_summary=MAIL), ["redacted_user_prompt_summary contains retained-text risk"]),
     ("trend", D, []),
     ("trend", X.changed(D, schema_version=True), ["trend schema_version must be 1"]),
-    ("trend", X.changed(D, flagged_turn_count=2), ["flagged_turn_count must be less than or equal to turn_count"]),
+    ("trend", X.changed(D, flagged_turn_count=4), ["flagged_turn_count must be less than or equal to turn_count"]),
     ("trend", X.changed(D, hosts={"nowhere": 1, "local": "1"}, flags={"x": 1}), ["flags keys must use allowed issue flags", "hosts value must be a bounded non-negative integer", "hosts key must be an allowed retained host"]),
     ("trend", X.changed(D, model_eras=[]), ["model_eras must be an object"]),
     ("trend", X.changed(D, flags={FLAG[1] + "x" * 60: 1}), ["flags key must be a safe token", "flags keys must use allowed issue flags"]),
-    ("trend", window(end="2026-05-22T00:00:00.000000001Z"), ["window duration must match window.mode"]),
-    ("trend", window(start="2026-05-23T00:00:00Z"), ["window.start must be before window.end"]),
+    ("trend", window(end=X.at("00:00:00.000000001", X.NEXT)), ["window duration must match window.mode"]),
+    ("trend", window(start=X.at("00:00:00", X.LATER)), ["window.start must be before window.end"]),
     ("trend", window(start="yesterday", mode="monthly", more=1), ["unexpected field is not allowed", "window.mode must be an allowed retained mode", "window.start must be timestamp"]),
-    ("trend", window(mode="weekly", start="2026-05-15T00:00:00Z"), []),
+    ("trend", window(mode="weekly", start=X.at("00:00:00", X.WEEK_BEFORE)), []),
     ("trend", X.changed(D, window=3), ["window must be an object"]),
     ("trend", X.changed(D, coverage_gaps=[{"host": "scope", "reason": "unreachable", "bytes": 3}, {"host": "x", "root_ref": "y", "bytes": -1}, 5]), [
         "coverage_gaps[2]: coverage gap host must be an allowed retained host", "coverage_gaps[2]: coverage gap reason is invalid", "coverage_gaps[2]: coverage gap root_ref must be path_ref_v1",
@@ -71,9 +71,9 @@ CASES = [
     ("manifest", X.changed(M, retention_safe=1, retention_note="x", redaction_policy_version=1.0), ["manifest redaction_policy_version must be 1", "manifest retention_note is invalid", "manifest retention_safe must be true"]),
     ("manifest", X.changed(M, sources=[]), ["manifest sources must be a non-empty array"]),
     ("manifest", X.changed(M, sources=M["sources"] * 17), ["manifest sources must contain at most 16 items"]),
-    ("manifest", source(rollout_count=0), ["sources[1]: ready source must have rollout_count or summary_count"]),
+    ("manifest", source(summary_count=0), ["sources[1]: ready source must have rollout_count or summary_count"]),
     ("manifest", source(status="stale"), ["sources[1]: non-ready source counts must be zero"]),
-    ("manifest", source(status="empty", rollout_count=0), []),
+    ("manifest", source(status="empty", summary_count=0), []),
     ("manifest", source(host="scope", root_ref="/", status=["ready"], summary_count=None), [
         "sources[1]: source host must be an allowed retained host", "sources[1]: source root_ref must be path_ref_v1", "sources[1]: source status is invalid",
         "sources[1]: source summary_count must be a bounded non-negative integer",
