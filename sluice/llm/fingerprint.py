@@ -136,14 +136,16 @@ def edited(docs: DataFrame) -> DataFrame:
 
     key is the doc_id; of a row without one (real is false) it is one of SALTS numbers, so that such rows are spread.
     """
-    doc_id, salted = F.col("doc_id").cast("bigint"), F.lit(NONE).cast("bigint") + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    # no part of this is null to the optimiser: a filter of nulls before one join would give each join an exchange of its own
+    doc_id, salted = F.col("doc_id").cast("bigint"), F.lit(NONE).cast("bigint").bitwiseOR(F.monotonically_increasing_id().bitwiseAND(SALTS - 1))
     rows = docs.select(F.coalesce(doc_id, salted).alias("key"), doc_id.isNotNull().alias("real"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select(doc_id.alias("key"), F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("n_chars")).filter("key IS NOT NULL")
     follow = followers(ids, max(1, source_bytes(docs) >> 28))
     quarter = lambda n: F.floor(n / 4).cast("int")
     asked = follow.select(F.col("next_id").alias("key"), F.col("key").alias("for_key"), quarter(F.col("n")).alias("first"))
-    heads = rows.hint("merge").join(asked, "key").filter("real").select(F.col("for_key").alias("to_key"), F.col("key").alias("next_id"), F.substring("text", F.lit(1), F.col("first")).alias("head"))
-    heads = heads.groupBy("to_key").agg(F.min(F.struct("head", "next_id")).alias("h")).select("to_key", "h.*")
+    heads = rows.hint("merge").join(asked, "key").select(F.col("for_key").alias("to_key"), "real", F.struct(F.substring("text", F.lit(1), F.col("first")).alias("head"), F.col("key").alias("next_id")).alias("h"))
+    # a condition here, for as a filter it would move below the exchange of the rows, which then no longer is that of the other join
+    heads = heads.groupBy("to_key").agg(F.min(F.when(F.col("real"), F.col("h"))).alias("h")).select("to_key", "h.*")
     joined = rows.hint("merge").join(heads, F.col("key") == F.col("to_key"), "left").withColumn("n", F.char_length("text"))  # leaves the rows dealt by key
     head = F.when(F.col("real"), F.col("head"))
     cut_text = F.concat(F.substring("text", F.lit(1), F.col("n") - quarter(F.col("n"))), F.substring(F.coalesce(head, F.lit("")), F.lit(1), quarter(F.col("n"))))
