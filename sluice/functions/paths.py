@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,34 +25,48 @@ EDGE = "\0"
 #: Forms of short letters and digits only: no pattern of a name's bank can be in them.
 PLAIN = rf"\A(?:[A-Za-z0-9]{{0,63}}+(?:{EDGE}|\z))+\z"
 
+#: Forms of letters, digits, dots, dashes and low lines, and the patterns that can be in them: the others need a blank or another sign.
+WORDY = rf"\A[A-Za-z0-9_.{EDGE}-]*+\z"
+WORDY_BANK = ["api_key", "bare_token", "hex64", "uuid", "rollout_name", "private_ipv4", "raw_id_token", "reserved_domain"]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, also within a lambda, where equal expressions are not shared."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def _sensitive(name: Column, *forms: Column) -> Column:
-    """A sensitive pattern in the name or one of its forms, or a sensitive token in a form. One search for all forms; plain ones need none."""
-    every = F.concat_ws(EDGE, name, *forms)
-    found = ~F.coalesce(every.rlike(PLAIN), F.lit(True)) & hits(every, fixed.NAME_BANK)
+    """A sensitive pattern in the name or one of its forms, or a sensitive token in a form. One search for all forms, by the patterns that can be in them."""
+    bank = lambda every: F.when(every.rlike(PLAIN), False).when(every.rlike(WORDY), hits(every, WORDY_BANK)).otherwise(hits(every, fixed.NAME_BANK))
+    found = _let(F.concat_ws(EDGE, name, *forms), bank)
     for form in forms:
         found = found | F.coalesce(form.rlike(fixed.SENSITIVE_TOKEN), F.lit(False))
     return found
 
 
 def forbidden_name(name: Column) -> Column:
-    bare = stem(name)
-    apart = F.lower(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1 $2"))
-    words = F.regexp_replace(F.regexp_replace(apart, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    compact = F.regexp_replace(words, "_", "")
     parts = "|".join(fixed.FORBIDDEN_COMPACT_NAME_PARTS)
-    return words.isin(fixed.FORBIDDEN_NAME_STEMS) | compact.rlike(rf"\A{fixed.FORBIDDEN_COMPACT_NAME_PREFIX}|{parts}") | _sensitive(name, bare, words)
+
+    def by_words(bare: Column, words: Column) -> Column:
+        compact = F.translate(words, "_", "")
+        return words.isin(fixed.FORBIDDEN_NAME_STEMS) | compact.rlike(rf"\A{fixed.FORBIDDEN_COMPACT_NAME_PREFIX}|{parts}") | _sensitive(name, bare, words)
+
+    def of(bare: Column) -> Column:
+        apart = F.lower(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1 $2"))
+        return _let(F.regexp_replace(F.regexp_replace(apart, "[^a-z0-9]+", "_"), "^_+|_+$", ""), lambda words: by_words(bare, words))
+
+    return _let(stem(name), of)
 
 
 def forbidden(parts: Column) -> Column:
     name = F.lower(F.element_at(parts, -1))
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.exists(folders, lambda p: F.lower(p).isin(fixed.FORBIDDEN_COMPONENTS) | forbidden_name(F.lower(p))) | name.isin(fixed.FORBIDDEN_FILENAMES) | forbidden_name(name) | name.startswith("rollout")
+    by_folder = F.exists(F.transform(folders, F.lower), lambda p: p.isin(fixed.FORBIDDEN_COMPONENTS) | forbidden_name(p))
+    return by_folder | name.isin(fixed.FORBIDDEN_FILENAMES) | forbidden_name(name) | name.startswith("rollout")
 
 
 def shown_part(part: Column) -> Column:
-    bare = stem(part)
-    return F.when(_sensitive(part, bare), F.concat(F.lit("[redacted]"), F.substr(part, F.char_length(bare) + 1))).otherwise(part)
+    return _let(stem(part), lambda bare: F.when(_sensitive(part, bare), F.concat(F.lit("[redacted]"), F.substr(part, F.char_length(bare) + 1))).otherwise(part))
 
 
 def shown(parts: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import fixed, jsonv, paths, text, times
 from sluice.operators import checks
+from sluice.plans import record_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,11 +97,12 @@ def _iso(events: DataFrame) -> DataFrame:
     return events.withColumn("iso", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad((F.col("event_id") % 1000000000).cast("string"), 9, "0"), F.lit("Z")))
 
 
-@query(f"""WITH e AS (SELECT event_id, user_id, {ISO} AS iso FROM events), m AS (SELECT user_id, substr(min(iso), 1, 7) AS month FROM e GROUP BY 1)
-SELECT event_id, month FROM e JOIN m USING (user_id) WHERE substr(iso, 1, 7) <> month""")
+@query("""WITH e AS (SELECT event_id, user_id, ts + to_days(CAST(event_id % 71 AS INT)) AS moved FROM events), m AS (SELECT user_id, date_trunc('month', min(moved)) AS month FROM e GROUP BY 1)
+SELECT event_id, strftime(month, '%Y-%m') AS month FROM e JOIN m USING (user_id) WHERE moved < month OR moved >= month + INTERVAL 1 MONTH""")
 def month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events outside the month of their user's first one."""
-    e = _iso(table(spark, sf_dir, "events")).select("event_id", "user_id", "iso")
+    """Events, moved by up to 70 days, outside the month of their user's first one."""
+    moved = table(spark, sf_dir, "events").withColumn("ts", F.expr("ts + make_dt_interval(CAST(event_id % 71 AS INT))"))
+    e = moved.select("event_id", "user_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("iso"))
     months = e.groupBy("user_id").agg(F.substring(F.min("iso"), 1, 7).alias("month"))
     begin, end = times.month_bounds(F.substring("month", 1, 4), F.substring("month", 6, 2))
     return e.join(months, "user_id").filter(checks.outside(times.key(F.col("iso")), begin, end, closed=False)).select("event_id", "month")
@@ -204,14 +206,16 @@ def ts_parts_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _iso(table(spark, sf_dir, "events")).select("event_id", times.valid(F.col("iso")).alias("valid"), times.key(F.col("iso")).alias("order_key"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END = 1 AS exact FROM orders""")
+@query("""WITH w AS (SELECT o_orderkey, o_orderdate AS a, o_orderdate + to_days(CAST(o_orderkey % 3 AS INT) * 3 + 1) AS b, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS more, [1, 7, 90][o_orderkey % 3 + 1] AS days FROM orders)
+SELECT o_orderkey, epoch_us(b) * 1000 + more - epoch_us(a) * 1000 = days * 86400000000000 AS exact FROM w""")
 def duration_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a declared daily window lasts a day: every fourth is a nanosecond too long."""
-    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-    after = F.date_format(F.expr("o_orderdate + INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss")
-    start = times.key(F.concat(day, F.lit("Z")))
-    end = times.key(F.concat(after, F.when(F.col("o_orderkey") % 4 == 0, ".000000001Z").otherwise("Z")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", times.lasts(start, end, F.lit(1)).alias("exact"))
+    """Whether a window lasts the days of its mode: 1, 4 or 7 days from the order's date, every fourth a nanosecond more, held against 1, 7 or 90."""
+    shape = "yyyy-MM-dd'T'HH:mm:ss"
+    start = times.key(F.concat(F.date_format("o_orderdate", shape), F.lit("Z")))
+    end = F.date_format(F.expr("o_orderdate + make_dt_interval(CAST(o_orderkey % 3 AS INT) * 3 + 1)"), shape)
+    end = times.key(F.concat(end, F.when(F.col("o_orderkey") % 4 == 0, ".000000001Z").otherwise("Z")))
+    days = F.element_at(F.array(*map(F.lit, fixed.MODE_DAYS.values())), (F.col("o_orderkey") % 3).cast("int") + 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", times.lasts(start, end, days).alias("exact"))
 
 
 @query("""SELECT event_id, regexp_full_match(ref, 'episode_ref_v1:[0-9a-f]{20}') AS valid FROM (SELECT event_id, 'episode_ref_v1:' || substr(md5(CAST(user_id AS VARCHAR)), 1, CASE WHEN event_id % 7 = 0 THEN 19 ELSE 20 END) || CASE WHEN event_id % 11 = 0 THEN chr(10) ELSE '' END AS ref FROM events)""")
@@ -260,25 +264,60 @@ def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- text and paths -------------------------------------------------------------------------------------------------------------
+#: The 21 patterns in the oracle's dialect, which has no look-around: an edge there is a character here, or the text's begin or end.
 SQL_HITS = {
-    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
-    "reserved_domain": r"(?i)\b[A-Za-z0-9-]+\.(internal|corp|local|lan|example|invalid|test)\b",
+    "private_key": r"(?i)-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----",
     "url": r"(?i)\b(https?|ssh)://",
-    "uuid": r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
+    "git_remote": r"\bgit@[A-Za-z0-9_.-]+:",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "posix_path": r"(?i)(^|[^A-Za-z0-9_])(~|/(Users|home|root|private|tmp|var|etc|opt|Volumes|workspace|workspaces))/",
+    "tool_state": r"(?i)(^|[^A-Za-z0-9_])(\./|\.\./)?\.codex(-local|-tmp)?[/\\]",
+    "sessions": r"(?i)(^|[^A-Za-z0-9_])(archived_)?sessions[/\\]",
+    "windows_path": r"(?i)\b[A-Za-z]:\\(Users|home|root|private|tmp|var|etc|opt|workspaces?)\\",
+    "secret_assignment": r"(?i)(password|passwd|pwd|credential|secret([\s._-]+key)?|token|api[\s._-]*key|authorization|private[\s._-]*key)[A-Za-z0-9._-]*[\"']?\s*[:=]",
+    "bearer": r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{12,}(\b|[~+/=.-]\b)",
+    "api_key": r"\b(sk|rk)[-_](proj[-_])?[A-Za-z0-9_-]{16,}\b",
+    "bare_token": r"\b(gh[pousr]_[A-Za-z0-9_]{16,}|github_pat_[A-Za-z0-9_]{16,})\b",
+    "hex64": r"(^|[^0-9a-fA-F])[0-9a-fA-F]{64}([^0-9a-fA-F]|$)",
+    "uuid": r"\b[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b",
+    "rollout_name": r"(?i)\brollout(-summary)?-[A-Za-z0-9_.-]+\.jsonl\b",
+    "private_ipv4": r"(^|[^0-9.])((10|127)(\.[0-9]{1,3}){3}|(100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])|169\.254|172\.(1[6-9]|2[0-9]|3[01])|192\.168)(\.[0-9]{1,3}){2})([^0-9.]|$)",
+    "private_ipv6": r"(?i)(^|[^0-9a-f:])(::1|f[cd][0-9a-f]{0,2}(:[0-9a-f]{0,4}){1,7}|fe[89ab][0-9a-f]?(:[0-9a-f]{0,4}){1,7})([^0-9a-f:]|$)",
+    "raw_id_value": r"(?i)(^|[^a-z0-9_])[\"']?(session|turn|episode)[._ -]?id[\"']?(\s*[:=]\s*|\s+)[\"']?[a-z0-9_.:-]{6,}\b",
+    "raw_id_token": r"(?i)\b(session|turn|episode)[._-]?id[._-][a-z0-9][a-z0-9_.-]{5,}\b",
+    "reserved_domain": r"(?i)\b([a-z0-9-]+\.)+(internal|corp|local|lan|example|invalid|test)\b",
+    "safety_words": r"(?i)\b(secret|token|credential|password|private key|production|destructive|rm -rf|reset --hard|customer data|pii)\b|客户|凭据|凭证|密钥|生产|破坏性",
 }
+#: What is put behind the texts, so that every pattern has something to find and something to leave.
+SAMPLES = [
+    "", "-----BEGIN RSA PRIVATE" + " KEY-----", "ssh" + "://x", "git" + "@host:x", "a" + "@b.org", "/ho" + "me/x", "./.co" + "dex/x", "archived_" + "sessions/x", "C:" + "\\Users\\x", "pass" + "wd = x",
+    "Bear" + "er abcdefgh1234567", "sk" + "-proj-abcdefghijklmnopqrst", "gh" + "p_" + "a" * 20, "f" * 64, "f" * 65, "01234567-89ab-cdef-0123-456789abcdef", "rollout" + "-x.jsonl", "at 10.1" + ".2.3", "110.1.2.3",
+    "10.1.2.3.4", "172.32.0.1", "fe80" + "::1", "g::1", "session" + " id: abcdef1", "session id: abc", "turn" + "_id_abcdef1", "db.prod" + ".internal", "a.localx", "the pro" + "duction", "凭" + "证", "tokens",
+]
+
+
+def _sampled(duck: bool) -> str:
+    """The documents' texts with a sample behind each."""
+    each = " ".join(f"WHEN {i} THEN '{x if duck else x.replace(chr(92), chr(92) * 2)}'" for i, x in enumerate(SAMPLES))
+    return f"coalesce(text, '') || ' ' || CASE doc_id % {len(SAMPLES)} {each} END"
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS pattern FROM documents WHERE regexp_matches(text, '{p}')" for name, p in SQL_HITS.items()) + ")")
+def _sql_hits(source: str, column: str) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{name}' AS pattern FROM {source} WHERE regexp_matches({column}, '{p.replace(chr(39), chr(39) * 2)}')" for name, p in SQL_HITS.items())
+
+
+@query(f"WITH d AS (SELECT doc_id, {_sampled(True)} AS body FROM documents) SELECT * FROM ({_sql_hits('d', 'body')})")
 def risk_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the sensitive patterns in them, in one pass."""
-    names = F.array_compact(F.array(*(F.when(text.hits(F.col("text"), [n]), n) for n in SQL_HITS)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(names).alias("pattern"))
+    """Documents, each with a sample behind it, and the sensitive patterns in them. A text that no pattern of the whole bank is in is not searched for each."""
+    names = F.array_compact(F.array(*(F.when(text.hits(F.col("body"), [n]), n) for n in SQL_HITS)))
+    body = table(spark, sf_dir, "documents").select("doc_id", F.expr(_sampled(False)).alias("body"))
+    return body.filter(text.risky_text(F.col("body"))).select("doc_id", F.explode(names).alias("pattern"))
 
 
-@query()
+@query(f"SELECT DISTINCT doc_id FROM ({_sql_hits('documents', 'text')})")
 def risky_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with any pattern of the retained bank; look-around keeps it out of the oracle's SQL."""
-    return table(spark, sf_dir, "documents").filter(text.risky_text(F.col("text"))).select("doc_id")
+    """Documents with any pattern of the retained bank."""
+    return table(spark, sf_dir, "documents").filter(text.risky_text(F.col("text"))).select("doc_id").distinct()
 
 
 @query(r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) NOT IN ('sessions/', 'auth.json') AND regexp_matches(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') GROUP BY 1""")
@@ -346,3 +385,7 @@ def episode_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     actual = episodes.groupBy("day", "host").agg(F.count(F.lit(1)).alias("episodes"), F.sum("turns").alias("turns"), F.sum("flagged").alias("flagged"))
     declared = e.filter("user_id % 13 <> 0").groupBy("day", "host").agg(F.count(F.lit(1)).alias("declared"))
     return actual.join(declared, ["day", "host"], "full_outer").select("day", "host", "episodes", "turns", "flagged", "declared", F.col("turns").eqNullSafe(F.col("declared")).alias("matches"))
+
+
+QUERIES |= record_queries.QUERIES
+ORACLE_SQL |= record_queries.ORACLE_SQL
