@@ -4,7 +4,7 @@
    Documents with equal sets form a class; only the class's least id goes on, so large groups of copies shrink to one row.
 2. Classes that share a band hash meet in a bucket. A bucket's pivot is its member with the most company over all its
    buckets, near the middle of a group of edited copies; each member is paired with its buckets' pivots, never with every other member.
-3. A pivot's members, in blocks of at most about BLOCK rows, are compared on full sets: with the pivot, and with each other where
+3. A pivot's members, in blocks of about BLOCK rows, fewer where sets are large, are compared on full sets: with the pivot, and with each other where
    they are not linked yet and an upper bound of their intersection (what both share with the pivot, plus the rest) reaches
    the threshold. Two documents of one bucket are both members of its pivot, so all pairs of all buckets are decided, while only
    links that join components leave the task. Members of a pivot with several blocks that are not linked to it visit its other blocks.
@@ -13,8 +13,9 @@
 A pair at the threshold misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-7.
 
 Nulls and odd input: a null or word-less text has an empty set, is linked with nothing and is kept; a text of fewer than k words is
-one shingle; rows that share a doc_id are one document; a row with a null doc_id takes part in no link, and takes the component of its
-class if there is one; extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
+one shingle; rows that share a doc_id are one document (``keep_one`` leaves its row of the least hash of its columns of plain types); a row with a null doc_id takes part
+in no link, and takes the component of its class if there is one; a very long text is one set of one task; shingles are told apart by 48 bits; empty tables
+give no rows; extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import kernel as K
@@ -32,12 +33,12 @@ from sluice.llm.components import components
 from sluice.llm.shared import cut
 
 BANDS, ROWS = 32, 4
-#: Members of one pivot that one task compares; further members go to further blocks.
-BLOCK = 512
+#: Members of one pivot that are compared at once, and how many shingles each counts for at least: a block holds BLOCK * WEIGHT shingles or so, or one larger set.
+BLOCK, WEIGHT = 256, 4096
 #: Places that the rows of one band or pivot are dealt to.
 SALTS = 1024
-#: Bits of the filter that keeps texts without candidates out of the second scan. It has one size; when it fills up, more sets than needed are made.
-SLOTS = 1 << 25
+#: A filter of eight bits a wanted document, these at most, keeps the others' texts out of the second scan; texts meet more documents in a join.
+MOST_SLOTS = 1 << 27
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -83,20 +84,33 @@ def _sets(k: int, wanted: np.ndarray):
     return run
 
 
-def _slot(doc_id) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
+def _slot(doc_id, slots: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(slots))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """The slots of the ids, as SLOTS bits whatever their number: a filter that may pass more, never less."""
-    slot = _slot("doc_id") + 1
+def _bitmap(ids: DataFrame, slots: int) -> np.ndarray:
+    """The slots of the ids, as bits: a filter that may pass more, never less."""
+    slot = _slot("doc_id", slots) + 1
     found = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros(SLOTS // 8, np.uint8)
-    for bucket, bits in found.collect():  # SLOTS / 32768 rows of 4 kB at most
+    out = np.zeros(slots // 8, np.uint8)
+    for bucket, bits in found.collect():  # slots / 32768 rows of 4 kB at most
         out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
     return out
 
 
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(member, elements): the sets of the wanted documents (doc_id), and of a few others."""
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    bits = wanted.count() * 8
+    if bits > MOST_SLOTS:
+        slots, seen = 8, np.full(1, 255, np.uint8)  # the join passes the wanted ones only
+        text = text.join(wanted, "doc_id", "left_semi")
+    else:
+        slots = max(1 << 18, 1 << max(bits - 1, 1).bit_length())
+        seen = _bitmap(wanted, slots)
+    return text.withColumn("slot", _slot("doc_id", slots)).mapInArrow(_sets(k, seen), "member bigint, elements binary").dropDuplicates(["member"])
+
+
 def _unpacked(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -199,22 +213,21 @@ def _with_total(rows: DataFrame, key: str, part: Column, whole: Column) -> DataF
 
 def links(docs: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between class representatives, enough to connect all that are linked."""
-    reps = signatures.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("member"))
-    entries = reps.select("member", F.explode("bands").alias("band"))
+    reps = signatures.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("member"), F.greatest(F.max("n_shingles"), F.lit(WEIGHT)).alias("weight"))
+    entries = reps.select("member", "weight", F.explode("bands").alias("band"))
     met = cut(_with_total(entries, "band", F.count(F.lit(1)), F.sum("total")).filter("total > 1"))
     company = met.groupBy("member").agg(F.sum("total").alias("company"))
-    known = met.select("band", "member").join(company, "member")
+    known = met.select("band", "member", "weight").join(company, "member")
     pivots = _with_total(known, "band", F.max(F.struct("company", (-F.col("member")).alias("member"))), F.max("total"))
-    pairs = cut(pivots.select((-F.col("total.member")).alias("pivot"), "member").distinct().filter("pivot <> member"))
-    of = lambda n: F.ceil(n / BLOCK).cast("int")
-    blocks = pairs.groupBy("pivot").agg(of(F.count(F.lit(1))).alias("blocks"))
-    placed = _with_total(pairs, "pivot", F.count(F.lit(1)), of(F.sum("total"))).withColumnRenamed("total", "blocks")
+    pairs = cut(pivots.select((-F.col("total.member")).alias("pivot"), "member", "weight").distinct().filter("pivot <> member"))
+    of = lambda n: F.ceil(n / (BLOCK * WEIGHT)).cast("int")
+    blocks = pairs.groupBy("pivot").agg(of(F.sum("weight")).alias("blocks"))
+    placed = _with_total(pairs, "pivot", F.sum("weight"), of(F.sum("total"))).withColumnRenamed("total", "blocks")
     placed = placed.select("pivot", F.pmod(F.xxhash64("member"), "blocks").cast("int").alias("block"), "blocks", "member")
     every = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.col("pivot").alias("member"))
     rows = placed.unionByName(every).withColumn("visitor", F.lit(False))
     wanted = rows.select(F.col("member").alias("doc_id")).distinct()
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _slot(F.col("doc_id").cast("bigint")).alias("slot"))
-    sets = cut(text.filter("doc_id IS NOT NULL").mapInArrow(_sets(k, _bitmap(wanted)), "member bigint, elements binary").dropDuplicates(["member"]))
+    sets = cut(_wanted_sets(docs, wanted, k))
 
     def compared(rows: DataFrame) -> DataFrame:
         full = rows.join(sets, "member").select("pivot", "block", "blocks", "member", "visitor", "elements")
@@ -250,4 +263,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, with one document of each component. Rows without a doc_id stay."""
     gone = near_duplicates(docs, k, percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    hashed = [f.name for f in docs.schema if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean")]
+    order, number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*hashed))), max(docs.columns, key=len) + "_"
+    named = left.filter("doc_id IS NOT NULL").withColumn(number, order).filter(F.col(number) == 1).drop(number)
+    return named.unionByName(left.filter("doc_id IS NULL"))
