@@ -9,7 +9,8 @@ Rates are grouped sums over all documents, pre-aggregated before their shuffle;
 documents. Both levels of rates come to a document by joins; a rate table of at most SMALL rows is sent to the tasks, after it was counted.
 
 Nulls and odd input: a null host or path is a group of its own; a null or word-less text has score 0 and is rejected; without labels of both kinds
-the evidence is 0 and all other texts are kept; repeated rows count and stay; extra columns are ignored by ``assess`` and kept by ``keep_good``.
+the evidence is 0 and all other texts are kept; repeated rows count and stay; a score equal to the threshold is kept; a very long text is a chunk of its own;
+an empty table gives no rows; extra columns are ignored by ``assess`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -143,37 +144,37 @@ def rates(scored: DataFrame) -> tuple[DataFrame, float]:
     return joined.select("host", "path", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), mean
 
 
-def _judged(rows: DataFrame, host: str, path: str, model, threshold: float) -> DataFrame:
-    """rows, all columns, with evidence, host_rate, path_rate, score and keep at the end."""
+def _judged(rows: DataFrame, host: str, path: str, model, threshold: float, text_after: bool = True) -> DataFrame:
+    """rows, all columns (the text only with text_after), with evidence, host_rate, path_rate, score and keep at the end.
+
+    Evidence is taken once and kept with the rows in the shared folder, for the rates and then for the scores.
+    """
     names = rows.columns
     numbered = rows.toDF(*(f"c{i}" for i in range(len(names))))
     text = names.index("text")
     numbered = numbered.withColumn(f"c{text}", F.col(f"c{text}").cast("string"))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in numbered.schema.fields), T.StructField(f"c{len(names)}", T.DoubleType()), T.StructField(f"c{len(names) + 1}", T.LongType())])
-    h, p = f"c{names.index(host)}", f"c{names.index(path)}"
-    slim = numbered.select(*dict.fromkeys([h, p, f"c{text}"]))
-    at = slim.columns.index(f"c{text}")
-    slim_schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(slim.schema.fields)), T.StructField("evidence", T.DoubleType()), T.StructField("words", T.LongType())])
-    scored = slim.mapInArrow(_evidence(model, at), slim_schema).filter("words > 0")
-    scored = scored.select(F.col(f"c{slim.columns.index(h)}").alias("host"), F.col(f"c{slim.columns.index(p)}").alias("path"), "evidence")
-    table, mean = rates(scored)
+    h, p = F.col(f"c{names.index(host)}"), F.col(f"c{names.index(path)}")
+    evidence, words = F.col(f"c{len(names)}"), F.col(f"c{len(names) + 1}")
+    full = numbered.mapInArrow(_evidence(model, text), schema)
+    left = [i for i in range(len(names)) if text_after or i != text]
+    full = cut(full if text_after else full.drop(f"c{text}"))
+    table, mean = rates(full.filter(words > 0).select(h.alias("host"), p.alias("path"), evidence.alias("evidence")))
     table = cut(table.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_rate", "path_rate"))
     if table.count() <= SMALL:
         table = F.broadcast(table)
-    full = numbered.mapInArrow(_evidence(model, text), schema)
-    joined = full.join(table, F.col(h).eqNullSafe(F.col("_h")) & F.col(p).eqNullSafe(F.col("_p")), "left")
-    evidence, words = F.col(f"c{len(names)}"), F.col(f"c{len(names) + 1}")
+    joined = full.join(table, h.eqNullSafe(F.col("_h")) & p.eqNullSafe(F.col("_p")), "left")
     logit = lambda x: F.log(x / (1 - x))
     site = F.coalesce(logit(F.least(F.greatest("path_rate", F.lit(1e-3)), F.lit(1 - 1e-3))), logit(F.lit(mean))) - logit(F.lit(mean))
     score = F.when(words > 0, 1 / (1 + F.exp(-(evidence + WEIGHT * site)))).otherwise(0.0)
-    out = joined.select(*(F.col(f"c{i}").alias(f"c{i}") for i in range(len(names))), evidence.alias("e"), "host_rate", "path_rate", score.alias("score"), ((words > 0) & (score >= threshold)).alias("keep"))
-    return out.toDF(*names, "evidence", "host_rate", "path_rate", "score", "keep")
+    out = joined.select(*(F.col(f"c{i}") for i in left), evidence.alias("e"), "host_rate", "path_rate", score.alias("score"), ((words > 0) & (score >= threshold)).alias("keep"))
+    return out.toDF(*(names[i] for i in left), "evidence", "host_rate", "path_rate", "score", "keep")
 
 
 def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """Per document: doc_id, evidence, host_rate, path_rate, score (0 to 1) and keep (score >= threshold). host and path name columns."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
-    judged = _judged(rows, "host", "path", learn(rows, labels), threshold)
+    judged = _judged(rows, "host", "path", learn(rows, labels), threshold, text_after=False)
     return judged.select("doc_id", "evidence", "host_rate", "path_rate", "score", "keep")
 
 
