@@ -11,7 +11,8 @@ Tasks hold the dictionary of one block or part and one chunk of texts. A pre-tok
 was divided in another way between the branches) is encoded on the spot, so that results never depend on the division.
 Decoding joins ids with the table of token bytes, whose size the vocabulary fixes.
 
-Nulls and odd input: a null text is an empty one and has no ids; a null doc_id stays null; repeated rows stay; extra columns are ignored.
+Nulls and odd input: a null text is an empty one and has no ids; a null doc_id stays null; repeated rows stay; a very long text is a chunk of its own;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import kernel as K
 from sluice.llm.blocks import BLOCK_ROWS, CHUNK, chunk_rows, opened, packed, rows_of
-from sluice.llm.shared import source_bytes
+from sluice.llm.shared import source_bytes, tasks_for
 
 #: Distinct pre-tokens that a scan task gathers before it sends them on, in bytes.
 GATHER = 64 << 20
@@ -242,12 +243,12 @@ def encode(docs: DataFrame, ranks_path: str, decoded: bool = False) -> DataFrame
     def ranks_of() -> dict[bytes, int]:
         return read_ranks(ranks_path)
 
-    parts = max(64, math.ceil(source_bytes(docs) / (32 << 20)))
+    parts, tasks = max(64, math.ceil(source_bytes(docs) / (32 << 20))), tasks_for(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("block"))
     words = rows.select("text", "block").mapInArrow(_words(parts), "part int, block int, blob binary")
-    known = words.repartition("part").sortWithinPartitions("part").mapInArrow(_encode_words(ranks_of), BLOCK_ROWS)
+    known = words.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_encode_words(ranks_of), BLOCK_ROWS)
     texts = rows.mapInArrow(chunk_rows(1), BLOCK_ROWS)
-    both = known.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "seq")
+    both = known.unionByName(texts).repartition(tasks, "block").sortWithinPartitions("block", "kind", "seq")
     return both.mapInArrow(_assemble(ranks_of, decoded), "doc_id bigint, ids array<int>" + ", bytes binary" * decoded)
 
 

@@ -23,3 +23,8 @@ def source_bytes(df: DataFrame) -> int:
     """The optimiser's size of df's sources: of file sources the bytes of their files, 0 where it knows none. No job runs."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
+
+
+def tasks_for(df: DataFrame, each: int = 16 << 20) -> int:
+    """Partitions of an exchange of what is made of df: the session's number, or one for ``each`` bytes of its files if these are more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-source_bytes(df) // each))

@@ -13,7 +13,7 @@ into segments of windows with one key.
 Nothing is compared by pairs, so work grows with the text; a passage in many documents costs a shard one segment a chunk.
 
 Nulls and odd input: a null text has no words; rows with a null doc_id are not ordered, so they lose nothing and remove nothing; rows that share
-a doc_id do not remove each other's words; a document of fewer words than a window stays whole; extra columns are kept by ``remove_repeats``.
+a doc_id do not remove each other's words; a document of fewer words than a window stays whole; a very long text is a slice of its own; an empty table gives no rows; extra columns are kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from sluice.llm import kernel as K
 from sluice.llm.blocks import BLOCK_ROWS, block_rows, chunk_rows, first_row, opened, packed, rows_of, slices
 from sluice.llm.fm_index import FMIndex
-from sluice.llm.shared import source_bytes
+from sluice.llm.shared import source_bytes, tasks_for
 
 GRAM = 5
 #: Windows of a segment at most; only a key that repeats within itself would make longer ones.
@@ -310,18 +310,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, whole: bool = True) -> Dat
     """
     names = docs.columns
     ids, text = names.index("doc_id"), names.index("text")
-    size = source_bytes(docs)
+    size, tasks = source_bytes(docs), tasks_for(docs)
     parts, shards = max(64, math.ceil(size / (32 << 20))), max(64, math.ceil(size / (8 << 20)))
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))  # clashing names can't arise
     rows = rows.withColumn(f"c{ids}", F.col(f"c{ids}").cast("bigint")).withColumn(f"c{text}", F.col(f"c{text}").cast("string")).withColumn("block", F.spark_partition_id())
     keys = rows.select(f"c{text}", F.col(f"c{ids}").isNotNull(), "block").mapInArrow(_keys(window, parts), "part int, block int, blob binary")
-    common = keys.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, BLOCK_ROWS)
+    common = keys.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_shared, BLOCK_ROWS)
     few = rows.select(f"c{ids}", f"c{text}", "block").mapInArrow(chunk_rows(1), BLOCK_ROWS)
-    dealt = common.unionByName(few).repartition("block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_dealt(window, parts, shards, 0, 1), "shard int, block int, seq bigint, blob binary")
-    covered = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(window), BLOCK_ROWS)
+    dealt = common.unionByName(few).repartition(tasks, "block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_dealt(window, parts, shards, 0, 1), "shard int, block int, seq bigint, blob binary")
+    covered = dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_search(window), BLOCK_ROWS)
     every = rows.mapInArrow(chunk_rows(text), BLOCK_ROWS)
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    done = covered.unionByName(every).repartition("block").sortWithinPartitions("block", "seq", "kind").mapInArrow(_finished(window, text, whole), schema)
+    done = covered.unionByName(every).repartition(tasks, "block").sortWithinPartitions("block", "seq", "kind").mapInArrow(_finished(window, text, whole), schema)
     return done.toDF(*names, "n_words", "n_removed")
 
 
