@@ -7,7 +7,8 @@ likelihood less PENALTY * (size - 1) * ln(trigrams) is chosen. Sizes that a boun
 The model has languages x BINS numbers, whatever the corpus; counts are over all learning rows and are summed in the tasks before the shuffle.
 
 Nulls and odd input: a null text or one without a letter is ``und`` with score 0; so is every text if nothing could be learned; rows with a null lang are
-not learned from; repeated rows count and stay; extra columns are ignored.
+not learned from; repeated rows count and stay; a very long text is a chunk of its own; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations

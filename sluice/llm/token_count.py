@@ -8,7 +8,8 @@ so that the work grows with the word's length only (Song et al., Fast WordPiece
 Pieces that begin a word are marked in the vocabulary. All single bytes are pieces, so every word is counted. A task counts a word the first time it
 meets it, all new words of a chunk at once, and looks it up after that.
 
-Nulls and odd input: a null or word-less text has 0 words and 0 pieces; repeated rows stay; extra columns are ignored.
+Nulls and odd input: a null or word-less text has 0 words and 0 pieces; repeated rows stay; a very long text is a chunk of its own; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,11 +7,12 @@ Tompa); only scoring words and the gaps between them are looked at. By Karlin an
 L * S - ln(K * m), where L solves the score equation of clean text; segments of a value above LEAST are significant. A
 logistic curve over the best and the summed values, fitted on at most SAMPLE labelled documents, gives the score.
 
-Counts are over all labelled learning rows. The table holds at most TABLE tokens, those with the most standard errors: a
-parameter of the model, of fixed size in every task.
+Counts are over all labelled learning rows. The table holds every token that passes, which takes three toxic documents at least: it grows with the
+vocabulary of the toxic labelled rows, not with the corpus, and goes to every task.
 
 Nulls and odd input: a null or empty text has no segment and gets the base score; rows without a label or with a null one are not learned
-from; several labels of a document all count; without labels of both kinds every score is 0; repeated rows stay; extra columns are ignored.
+from; several labels of a document all count; without labels of both kinds every score is 0; repeated rows
+stay; equal scores are in the same place of the order; a very long text is a chunk of its own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from sluice.llm import logistic
 from sluice.llm.language_id import held_out
 from sluice.llm.shared import source_bytes
 
-PRIOR, Z, TABLE, SAMPLE, LEAST = 0.05, 3.0, 500_000, 20_000, 2.0
+PRIOR, Z, SAMPLE, LEAST = 0.05, 3.0, 20_000, 2.0
 #: Labels in files of up to so many bytes are sent to the scan's tasks; beyond, both sides are shuffled.
 SMALL = 4 << 20
 K_FACTOR = 0.1
@@ -144,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     prior = (F.col("n1") + F.col("n0")) * PRIOR
     odds = lambda n, total: F.log((F.col(n) + prior) / (total + PRIOR * (all1 + all0) - F.col(n) - prior))
     scored = counted.filter("n1 > 2").withColumn("score", odds("n1", all1) - odds("n0", all0)).withColumn("z", F.col("score") / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior)))
-    best = scored.filter((F.col("z") > Z) & (F.col("score") > 0.7)).orderBy(F.desc("z"), "token").limit(TABLE).toPandas()
+    best = scored.filter((F.col("z") > Z) & (F.col("score") > 0.7)).orderBy(F.desc("z"), "token").toPandas()
     score = best["score"].to_numpy(float)
     rare = (best["n0"].to_numpy(float) + 0.01) / (all0 + 1)
     other = float(np.clip(np.log((all1 - best["n1"].sum() + 1) / all1) - np.log((all0 - best["n0"].sum() + 1) / all0), -2.0, -0.2)) if len(best) else -1.0
