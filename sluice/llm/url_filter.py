@@ -45,10 +45,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"\A[^/?#]*([^?#]*)", 1)
 
 
-def address_of(url: Column) -> Column:
-    """What tells addresses apart; null without a host."""
-    host = host_of(url)
-    return F.when(host != "", F.concat(host, F.regexp_extract(_rest(url), r"\A[^/?#]*([^#]*)", 1)))
+def address_of(rest: Column) -> Column:
+    """What tells addresses apart, from what follows a url's scheme; null without a host."""
+    address = F.regexp_extract(rest, r"\A([^#]*)", 1)
+    host = F.regexp_extract(rest, r"\A([^/?#]*)", 1)
+    return F.when(host != "", F.concat(F.translate(host, UPPER, LOWER), F.substr(address, F.char_length(host) + 1)))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -62,35 +63,34 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 def _attribute(tag: Column, name: str) -> Column:
     """An attribute's value: in either quotes, or bare."""
-    quoted, single, bare = (F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*{q}", 1) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)"))
-    return F.trim(F.when(quoted != "", quoted).when(single != "", single).otherwise(bare))
-
-
-def _resolved(base: Column, to: Column) -> Column:
-    """An absolute url for a reference in a page."""
-    scheme, host = F.regexp_extract(base, r"\A([^:]*)://", 1), F.regexp_extract(base, r"\A[^:]*://([^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, r"\A[^:]*://[^/?#]*([^?#]*)", 1), r"[^/]*\z", "")
-    to = F.regexp_replace(to, "&amp;", "&")
-    return (
-        F.when(to.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(scheme, F.lit("://"), host, to))
-        .when(to.rlike(r"\A[?#]"), F.concat(scheme, F.lit("://"), host, F.regexp_extract(base, r"\A[^:]*://[^/?#]*([^?#]*)", 1), to))
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.when(folder == "", "/").otherwise(folder), to))
-    )
+    found = [F.nullif(F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*{q}", 1), F.lit("")) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")]
+    return F.trim(F.coalesce(*found, F.lit("")))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): addresses that redirect or canonical-link edges of the pages (url, html) join."""
+    """(a, b): addresses that redirect or canonical-link edges of the pages (url, html) join.
+
+    Each step's values are columns for the next one, which uses them several times, so no expression is written out more than once in the plan.
+    """
     tags = F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\s[^>]*>)"), 1)
     marked = F.filter(tags, lambda t: t.rlike(r"(?i)canonical|refresh"))
     found = pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(marked).alias("tag"))
-    link = (F.translate(F.substr("tag", F.lit(2), F.lit(4)), UPPER, LOWER) == "link") & _attribute(F.col("tag"), "rel").rlike(r"(?i)(\A|\s)canonical(\s|\z)")
-    meta = _attribute(F.col("tag"), "http-equiv").rlike(r"(?i)\Arefresh\z")
-    target = F.when(link, _attribute(F.col("tag"), "href")).when(meta, F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)\A[^;,]*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1))
-    found = found.select("url", target.alias("target")).filter("target <> ''")
-    found = found.select(address_of(F.col("url")).alias("a"), address_of(_resolved(F.col("url"), F.col("target"))).alias("b"))
-    return found.filter("a <> b").distinct()
+    link = F.translate(F.substr("tag", F.lit(2), F.lit(4)), UPPER, LOWER) == "link"
+    named = found.select("url", link.alias("link"), _attribute(F.when(link, F.col("tag")), "rel").alias("rel"), _attribute(F.when(link, F.col("tag")), "href").alias("href"), _attribute(F.when(~link, F.col("tag")), "http-equiv").alias("equiv"), _attribute(F.when(~link, F.col("tag")), "content").alias("content"))
+    refresh = F.regexp_extract("content", r"(?is)\A[^;,]*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1)
+    target = F.when(F.col("link") & F.col("rel").rlike(r"(?i)(\A|\s)canonical(\s|\z)"), F.col("href")).when(~F.col("link") & F.col("equiv").rlike(r"(?i)\Arefresh\z"), refresh)
+    to = named.select("url", F.regexp_replace(target, "&amp;", "&").alias("to")).filter("to <> ''")
+    parts = to.select("to", F.regexp_extract("url", r"\A([^:]*)://", 1).alias("scheme"), F.regexp_extract("url", r"\A[^:]*://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", r"\A[^:]*://[^/?#]*([^?#]*)", 1).alias("path"), _rest(F.col("url")).alias("rest"))
+    folder = F.regexp_replace("path", r"[^/]*\z", "")
+    absolute = (
+        F.when(F.col("to").rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
+        .when(F.col("to").startswith("//"), F.concat("scheme", F.lit(":"), "to"))
+        .when(F.col("to").startswith("/"), F.concat("scheme", F.lit("://"), "host", "to"))
+        .when(F.col("to").rlike(r"\A[?#]"), F.concat("scheme", F.lit("://"), "host", "path", "to"))
+        .otherwise(F.concat("scheme", F.lit("://"), "host", F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")), "to"))
+    )
+    both = parts.select("rest", absolute.alias("to")).select("rest", _rest(F.col("to")).alias("to"))
+    return both.select(address_of(F.col("rest")).alias("a"), address_of(F.col("to")).alias("b")).filter("a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
     """
     url = F.col("url")
     rows = pages.select("page_id", url.cast("string").alias("url"))
-    rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), address_of(url).alias("address"))
+    rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), address_of(_rest(url)).alias("address"))
     rows = rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     edges = cut(edges if edges is not None else alias_edges(pages.select(url.cast("string").alias("url"), F.col("html").cast("string").alias("html"))))
     if edges.isEmpty():
