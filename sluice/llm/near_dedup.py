@@ -34,11 +34,12 @@ from sluice.llm.shared import cut
 
 BANDS, ROWS = 32, 4
 #: Members of one pivot that are compared at once, and how many shingles each counts for at least: a block holds BLOCK * WEIGHT shingles or so, or one larger set.
-BLOCK, WEIGHT = 256, 4096
+BLOCK, WEIGHT = 512, 4096
 #: Places that the rows of one band or pivot are dealt to.
 SALTS = 1024
-#: A filter of eight bits a wanted document, these at most, keeps the others' texts out of the second scan; texts meet more documents in a join.
-MOST_SLOTS = 1 << 27
+#: Bits of the filter that keeps texts which are not wanted out of the second scan: SPARSE for a wanted document, within these bounds. Where there are not
+#: even eight, wanted documents are met by a join.
+SPARSE, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 22, 1 << 27
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -101,12 +102,12 @@ def _bitmap(ids: DataFrame, slots: int) -> np.ndarray:
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(member, elements): the sets of the wanted documents (doc_id), and of a few others."""
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    bits = wanted.count() * 8
-    if bits > MOST_SLOTS:
+    n = wanted.count()
+    if n * 8 > MOST_SLOTS:
         slots, seen = 8, np.full(1, 255, np.uint8)  # the join passes the wanted ones only
         text = text.join(wanted, "doc_id", "left_semi")
     else:
-        slots = max(1 << 18, 1 << max(bits - 1, 1).bit_length())
+        slots = min(max(1 << (SPARSE * n).bit_length(), LEAST_SLOTS), MOST_SLOTS)
         seen = _bitmap(wanted, slots)
     return text.withColumn("slot", _slot("doc_id", slots)).mapInArrow(_sets(k, seen), "member bigint, elements binary").dropDuplicates(["member"])
 
