@@ -246,9 +246,9 @@ def encode(docs: DataFrame, ranks_path: str, decoded: bool = False) -> DataFrame
     parts, tasks = max(64, math.ceil(source_bytes(docs) / (32 << 20))), tasks_for(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("block"))
     words = rows.select("text", "block").mapInArrow(_words(parts), "part int, block int, blob binary")
-    known = words.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_encode_words(ranks_of), BLOCK_ROWS)
+    known = words.repartitionById(tasks, F.col("part")).sortWithinPartitions("part").mapInArrow(_encode_words(ranks_of), BLOCK_ROWS)
     texts = rows.mapInArrow(chunk_rows(1), BLOCK_ROWS)
-    both = known.unionByName(texts).repartition(tasks, "block").sortWithinPartitions("block", "kind", "seq")
+    both = known.unionByName(texts).repartitionById(tasks, F.col("block")).sortWithinPartitions("block", "kind", "seq")
     return both.mapInArrow(_assemble(ranks_of, decoded), "doc_id bigint, ids array<int>" + ", bytes binary" * decoded)
 
 

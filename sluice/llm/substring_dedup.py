@@ -315,13 +315,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, whole: bool = True) -> Dat
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))  # clashing names can't arise
     rows = rows.withColumn(f"c{ids}", F.col(f"c{ids}").cast("bigint")).withColumn(f"c{text}", F.col(f"c{text}").cast("string")).withColumn("block", F.spark_partition_id())
     keys = rows.select(f"c{text}", F.col(f"c{ids}").isNotNull(), "block").mapInArrow(_keys(window, parts), "part int, block int, blob binary")
-    common = keys.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_shared, BLOCK_ROWS)
+    common = keys.repartitionById(tasks, F.col("part")).sortWithinPartitions("part").mapInArrow(_shared, BLOCK_ROWS)
     few = rows.select(f"c{ids}", f"c{text}", "block").mapInArrow(chunk_rows(1), BLOCK_ROWS)
-    dealt = common.unionByName(few).repartition(tasks, "block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_dealt(window, parts, shards, 0, 1), "shard int, block int, seq bigint, blob binary")
-    covered = dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_search(window), BLOCK_ROWS)
+    dealt = common.unionByName(few).repartitionById(tasks, F.col("block")).sortWithinPartitions("block", "kind", "seq").mapInArrow(_dealt(window, parts, shards, 0, 1), "shard int, block int, seq bigint, blob binary")
+    covered = dealt.repartitionById(tasks, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_search(window), BLOCK_ROWS)
     every = rows.mapInArrow(chunk_rows(text), BLOCK_ROWS)
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    done = covered.unionByName(every).repartition(tasks, "block").sortWithinPartitions("block", "seq", "kind").mapInArrow(_finished(window, text, whole), schema)
+    done = covered.unionByName(every).repartitionById(tasks, F.col("block")).sortWithinPartitions("block", "seq", "kind").mapInArrow(_finished(window, text, whole), schema)
     return done.toDF(*names, "n_words", "n_removed")
 
 
