@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions import fixed
+from sluice.functions.once import let
 
 #: One JSON string, and a colon if it is a key. A scan from the text's start can't fall into the middle of a string.
 _STRING = r'"(?:[^"\\]++|\\.)*+"(?:\s*:)?'
@@ -27,31 +28,45 @@ def field(doc: Column, name: str) -> Column:
 
 def kind(value: Column) -> Column:
     """STRING, BIGINT, BOOLEAN, DECIMAL, DOUBLE, OBJECT, ARRAY, VOID (null) or MISSING."""
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), r"\A([A-Z]+)", 1), F.lit("MISSING"))
+    return F.coalesce(F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1), F.lit("MISSING"))
+
+
+def text_of(value: Column, kind: Column) -> Column:
+    """The string of a value whose kind is known, null for other types."""
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def text(value: Column) -> Column:
     """The string, null for other types."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return text_of(value, kind(value))
+
+
+def integer_of(value: Column, kind: Column) -> Column:
+    return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint"))
 
 
 def integer(value: Column) -> Column:
     """The integer, null for other types: true, 1.0 and "1" are none."""
-    return F.when(kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+    return integer_of(value, kind(value))
+
+
+def count_of(value: Column, kind: Column) -> Column:
+    return let(integer_of(value, kind), lambda n: F.when(n.between(0, fixed.MAX_COUNT), n))
 
 
 def count(value: Column) -> Column:
     """A bounded non-negative integer, null for everything else."""
-    n = integer(value)
-    return F.when(n.between(0, fixed.MAX_COUNT), n)
+    return count_of(value, kind(value))
 
 
 def items(value: Column) -> Column:
-    return F.when(kind(value) == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
+    """The elements, null for what is no array."""
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def entries(value: Column) -> Column:
-    return F.when(kind(value) == "OBJECT", F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")))
+    """The members, null for what is no object."""
+    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
 
 
 def keys(value: Column) -> Column:
@@ -63,7 +78,9 @@ def _tokens(json: Column) -> Column:
 
 
 def _unquoted(token: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(F.regexp_replace(token, r"\s*:\z", "")), "$", "string")
+    """A string without its quotes and colon; only one with escapes has to be parsed."""
+    parsed = F.try_variant_get(F.try_parse_json(F.regexp_replace(token, r"\s*:\z", "")), "$", "string")
+    return F.when(token.contains("\\"), parsed).otherwise(F.substring_index(F.substring(token, 2, 2**31 - 1), '"', 1))
 
 
 def deep_keys(json: Column) -> Column:

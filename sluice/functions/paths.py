@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions import fixed
+from sluice.functions.once import let as _let
 from sluice.functions.text import hits
 
 
@@ -30,11 +29,6 @@ WORDY = rf"\A[A-Za-z0-9_.{EDGE}-]*+\z"
 WORDY_BANK = ["api_key", "bare_token", "hex64", "uuid", "rollout_name", "private_ipv4", "raw_id_token", "reserved_domain"]
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, also within a lambda, where equal expressions are not shared."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _sensitive(name: Column, *forms: Column) -> Column:
     """A sensitive pattern in the name or one of its forms, or a sensitive token in a form. One search for all forms, by the patterns that can be in them."""
     bank = lambda every: F.when(every.rlike(PLAIN), False).when(every.rlike(WORDY), hits(every, WORDY_BANK)).otherwise(hits(every, fixed.NAME_BANK))

@@ -41,7 +41,9 @@ class Made:
         return f"SELECT {self.key} AS id, " + ", ".join(f"{e} AS {c}" for c, e in self.columns.items()) + f" FROM {self.table}"
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{self.table}.parquet").selectExpr(f"{self.key} AS id", *(f"{e} AS {c}" for c, e in self.columns.items()))
+        """The keys are dealt out first: they are few bytes for much work, and a file of millions of them may be one task's."""
+        keys = spark.read.parquet(f"{sf_dir}/{self.table}.parquet").select(self.key).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return keys.selectExpr(f"{self.key} AS id", *(f"{e} AS {c}" for c, e in self.columns.items()))
 
 
 def lit(x: str) -> str:
