@@ -77,6 +77,8 @@ RAW_ID_VALUE = (
     r"(?!session_ref_v1:|turn_ref_v1:|episode_ref_v1:|row\.get\b|data\.get\b|value\.get\b)[A-Za-z0-9_.:-]{6,}\b"
 )
 SECRET_NAME = r"[A-Za-z0-9._-]*(?:password|passwd|pwd|credential|secret(?:[\s._-]+key)?|token|api[\s._-]*key|authorization|private[\s._-]*key)[A-Za-z0-9._-]*[\"']?\s*[:=]\s*[\"']?(?!(?:re\.compile|frozenset)\b)"
+#: A text has a name without what may stand before the word if and only if it has one with it: the characters before it reach back to an edge.
+SECRET_WORD = SECRET_NAME.removeprefix("[A-Za-z0-9._-]*")
 SAFE_NAMES = (
     r"(?!(?:safe[._-]?token(?:[._-]?re)?|common[._-]?bare[._-]?token[._-]?re|max[._-]?safe[._-]?token[._-]?length|max[._-]?token[._-]?array[._-]?items|sensitive[._-]?token[._-]?re"
     r"|raw[._-]?id[._-]?token[._-]?re|tokens|risk[._-]?patterns?|infrastructure[._-]?risk[._-]?patterns?|safe[._-]?infrastructure[._-]?lines)[\"']?\s*[:=])"
@@ -94,7 +96,7 @@ PATTERNS = {
     "tool_state": ("i", r"(^|[^A-Za-z0-9_])(?:\./|\.\./)?\.codex(?:-local|-tmp)?(?:/|\\)"),
     "sessions": ("i", r"(^|[^A-Za-z0-9_])(?:sessions|archived_sessions)(?:/|\\)"),
     "windows_path": ("i", r"\b[A-Za-z]:\\(?:Users|home|root|private|tmp|var|etc|opt|workspace|workspaces)\\"),
-    "secret_assignment": ("i", r"(?<![A-Za-z0-9_])[\"']?" + SECRET_NAME),
+    "secret_assignment": ("i", SECRET_WORD),
     "infra_secret_assignment": ("i", r"(?<![A-Za-z0-9_])[\"']?" + SAFE_NAMES + SECRET_NAME),
     "bearer": ("i", r"\bBearer\s+[A-Za-z0-9._~+/=-]{12,}\b"),
     "api_key": ("", r"\b(?:sk|rk)[-_](?:proj[-_])?[A-Za-z0-9_-]{16,}\b"),
@@ -110,6 +112,24 @@ PATTERNS = {
     "reserved_domain": ("i", r"\b[A-Za-z0-9-]+(?:\.-+)*\.(?:internal|corp|local|lan|example|invalid|test)\b"),
     "safety_words": ("i", r"(?:\b(?:secret|token|credential|password|private key|production|destructive|rm -rf|reset --hard|customer data|pii)\b|客户|客户数据|凭据|凭证|密钥|生产|破坏性)"),
 }
+_SECRETS = ["password", "passwd", "pwd", "credential", "secret", "token", "api", "authorization", "private"]
+_IDS = [["id"], ["session", "turn", "episode"]]
+#: What a text in lower case must have for a pattern to be in it: one of each list. Far cheaper to look for than the pattern.
+NEEDS = {
+    "private_key": [["-----begin "]], "url": [["://"]], "git_remote": [["git@"]], "private_http": [["://"]], "private_ssh": [["://"]], "private_remote": [["@"], [":"]], "email": [["@"]],
+    "posix_path": [["/"], ["~/", *(f"/{d}/" for d in ("users", "home", "root", "private", "tmp", "var", "etc", "opt", "volumes", "workspace", "workspaces"))]],
+    "tool_state": [[".codex"]], "sessions": [["sessions/", "sessions\\"]], "windows_path": [[":\\"]], "secret_assignment": [[":", "="], _SECRETS], "infra_secret_assignment": [[":", "="], _SECRETS],
+    "bearer": [["bearer"]], "api_key": [["sk-", "sk_", "rk-", "rk_"]], "bare_token": [["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"]], "uuid": [["-"]], "rollout_name": [["rollout"], [".jsonl"]],
+    "private_ipv4": [["10.", "100.", "127.", "169.254.", "172.", "192.168."]], "private_ipv6": [[":"], ["::1", "fc", "fd", "fe8", "fe9", "fea", "feb"]], "raw_id_value": _IDS, "raw_id_token": _IDS,
+    "reserved_domain": [[".internal", ".corp", ".local", ".lan", ".example", ".invalid", ".test"]],
+    "safety_words": [[*_SECRETS[:1], "credential", "secret", "token", "private key", "production", "destructive", "rm -rf", "reset --hard", "customer data", "pii", "客户", "凭据", "凭证", "密钥", "生产", "破坏性"]],
+}
+#: The same as expressions, where no words are sure or they are common.
+NEEDS_LIKE = {
+    "hex64": "[0-9a-f]{64}", "uuid": "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-", "raw_id_value": "(?:session|turn|episode)[._ -]?id", "raw_id_token": "(?:session|turn|episode)[._-]?id[._-]",
+}
+#: Letters that Java takes for s and i in any case, though their lower case is another.
+ODD_LETTERS = ("ſıİ", "sii")
 SHARED_BANK = [
     "private_key", "email", "posix_path", "tool_state", "sessions", "windows_path", "bearer", "api_key", "bare_token", "hex64", "uuid", "rollout_name", "private_ipv4",
     "private_ipv6", "raw_id_value", "raw_id_token", "reserved_domain",

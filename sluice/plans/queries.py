@@ -308,10 +308,9 @@ def _sql_hits(source: str, column: str) -> str:
 
 @query(f"WITH d AS (SELECT doc_id, {_sampled(True)} AS body FROM documents) SELECT * FROM ({_sql_hits('d', 'body')})")
 def risk_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, each with a sample behind it, and the sensitive patterns in them. A text that no pattern of the whole bank is in is not searched for each."""
-    names = F.array_compact(F.array(*(F.when(text.hits(F.col("body"), [n]), n) for n in SQL_HITS)))
+    """Documents, each with a sample behind it, and the sensitive patterns in them."""
     body = table(spark, sf_dir, "documents").select("doc_id", F.expr(_sampled(False)).alias("body"))
-    return body.filter(text.risky_text(F.col("body"))).select("doc_id", F.explode(names).alias("pattern"))
+    return body.select("doc_id", F.explode(text.patterns_in(F.col("body"), list(SQL_HITS))).alias("pattern"))
 
 
 @query(f"SELECT DISTINCT doc_id FROM ({_sql_hits('documents', 'text')})")
