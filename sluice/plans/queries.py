@@ -316,7 +316,7 @@ def risk_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT doc_id FROM ({_sql_hits('documents', 'text')})")
 def risky_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with any pattern of the retained bank."""
-    return table(spark, sf_dir, "documents").filter(text.risky_text(F.col("text"))).select("doc_id").distinct()
+    return table(spark, sf_dir, "documents").filter(text.risky_document(F.col("text"))).select("doc_id").distinct()
 
 
 @query(r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) NOT IN ('sessions/', 'auth.json') AND regexp_matches(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') GROUP BY 1""")

@@ -71,3 +71,11 @@ def test_letters_of_any_case(spark):
     """All letters that Java takes for one from a to z are one of these when lowered."""
     letters = spark.createDataFrame([(chr(i),) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000], "c string")
     assert [r.c for r in letters.filter(F.col("c").rlike("(?iuU)[a-z]") & ~text._lower(F.col("c")).rlike("[a-z]")).collect()] == []
+
+
+def test_long_runs_are_searched_once(spark):
+    """Words joined by dots were searched anew from each of them: time grew with the square of their number."""
+    long = spark.createDataFrame([("a." * 60_000,), ("a." * 60_000 + " : =",)], "t string").coalesce(1)
+    began = time.time()
+    assert long.filter(text.risky_document(F.col("t"))).collect() == []
+    assert time.time() - began < 20
